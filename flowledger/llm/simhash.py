@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     groups = materialize(near_duplicates(docs, doc_id, text, **how).select("doc_id", "component_id"), "groups")
     (mark,) = fresh(docs, "_kept_id")
     stay = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    kept = docs.join(stay.select(F.col("doc_id").alias(mark)), docs[doc_id] == F.col(mark), "left_semi")
+    # A merge join at every size: ids to keep are as many as documents, so they are never sent around.
+    kept = docs.join(stay.select(F.col("doc_id").alias(mark)).hint("merge"), docs[doc_id] == F.col(mark), "left_semi")
     again = stay.where(F.col("count") > 1).select(F.col("doc_id").alias(mark))
     if not again.isEmpty():
         once = kept.join(again, kept[doc_id] == F.col(mark), "left_semi").dropDuplicates([doc_id])
