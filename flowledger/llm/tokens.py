@@ -104,7 +104,7 @@ def scan(files: DataFrame, end: int = END) -> DataFrame:
     empty blocks have no tokens.  No files give an empty result.
     """
     found = materialize(block_separators(files, end), "separators")
-    facts = found.select("file", "block", F.floor(F.col("block") / SUPER).alias("super"), "size", F.size("at").cast("long").alias("ends"), F.element_at("at", -1).alias("last"))
+    facts = found.select("file", "block", F.floor(F.col("block") / SUPER).alias("super"), "size", F.size("at").cast("long").alias("ends"), F.try_element_at("at", F.lit(-1)).alias("last"))
     # A separator's place counted from the super-block's start, and then from the file's.
     inner = Window.partitionBy("file", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summed = facts.withColumns({"skip": F.coalesce(F.sum("size").over(inner), F.lit(0)), "before": F.coalesce(F.sum("ends").over(inner), F.lit(0))})
