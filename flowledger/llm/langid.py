@@ -79,7 +79,7 @@ def suffix_automaton(line: list[int]) -> list[dict[int, int]]:
 def flat_table(step: list[dict[int, int]], width: int) -> np.ndarray:
     start = np.array([2 * step[0].get(c, 0) * width + 1 for c in range(width)], dtype=np.int32)
     table = np.tile(start, (len(step), 1))
-    for state, row in enumerate(step):
+    for state, row in enumerate(step[1:], 1):  # from the start, every symbol begins a phrase
         for c, target in row.items():
             table[state, c] = 2 * target * width
     return table.ravel()
@@ -154,7 +154,7 @@ def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray
     wide = symbols.astype(np.int32)
     for k, table in enumerate(model.tables):
         state = np.zeros(len(begin), dtype=np.int32)
-        count = np.ones(len(begin), dtype=np.int32)
+        count = np.zeros(len(begin), dtype=np.int32)
         for t in range(LANE):
             n = active[t]
             if not n:
