@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = materialize(fingerprints(docs, doc_id, text, words), "simhash")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     named = connected(links(nodes.select("fp"), radius))
-    first = named.join(nodes, named.node == nodes.fp).groupBy("label").agg(F.min("first_id").alias("linked_id"))
+    first = materialize(named.join(nodes, named.node == nodes.fp).groupBy("label").agg(F.min("first_id").alias("linked_id")), "simhash-first")
     linked = named.join(first, "label").select(F.col("node").alias("fp"), "linked_id")
     named_nodes = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id")), "simhash-named")
     return marked.join(named_nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
