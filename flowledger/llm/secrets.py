@@ -31,8 +31,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 SHORTEST = 20
 THRESHOLD = 0.8
-SAMPLE_DOCS = 256
-SAMPLE_CHARS = 2000
+SAMPLE_DOCS = 128
+SAMPLE_CHARS = 1000
 RANDOM_STRINGS = 3000
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 
