@@ -178,3 +178,34 @@ def test_streaming_equals_batch(spark, tmp_path):
     q = live.writeStream.outputMode("complete").format("memory").queryName("latest_events").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("latest_events").collect()] == [("w", "k", "19")]
+
+
+def test_receive_takes_messages_in_order(spark, tmp_path):
+    from flowledger.streaming import streams
+
+    rows = [("d", "t", "message", 1, None, "first"), ("d", "t", "wait", 2, 9_000, None), ("d", "t", "message", 3, None, "second"), ("e", "t", "wait", 1, 9_000, None)]
+    df = spark.createDataFrame(rows, "destination string, topic string, kind string, at long, deadline_ms long, message string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = streams.log_source(spark, str(tmp_path / "in"), df.schema).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", "1 second")
+    q = streams.receive(live).writeStream.format("memory").queryName("received").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("received").collect()] == [("d", "t", "message", "first")]
+
+
+def test_snapshots_round_trip(spark, tmp_path):
+    from flowledger.sources import tables
+
+    df = spark.createDataFrame([("w", "k", "v", None)], schema.TABLES["workflow_events"])
+    tables.write_snapshot(df, str(tmp_path), "workflow_events")
+    assert [tuple(r) for r in tables.read_snapshot(spark, str(tmp_path), "workflow_events").collect()] == [("w", "k", "v", None)]
+    with pytest.raises(Exception, match="exist"):
+        tables.write_snapshot(df, str(tmp_path), "workflow_events")
+
+
+def test_queue_outcomes(spark):
+    df = ws(spark, *({"workflow_uuid": f"w{i}", "status": "ENQUEUED", "queue_name": "q", "created_at": i} for i in range(4))).withColumns({"application_version": F.lit(None).cast("string"), "priority": F.lit(0), "rate_limited": F.lit(False), "queue_partition_key": F.lit(None).cast("string")})
+    qs = spark.createDataFrame([("q", 3, 2, None, None), ("none", None, None, None, None)], "name string, concurrency int, worker_concurrency int, rate_limit_max int, rate_limit_period_ms long")
+    local = lambda n: spark.createDataFrame([("q", n)], "queue_name string, local_running int")
+    got = lambda n: {r.queue_name: (r.claimed, r.blocked) for r in admission.outcomes(df, qs, local(n), 0, "v", "v").collect()}
+    assert got(1) == {"q": (1, None), "none": (0, "empty")} and got(2)["q"] == (0, "no_capacity")
+    assert ids(admission.dequeue(df, qs, local(0), 0, "v", "v")) == ["w0", "w1"] and ids(admission.dequeue(df, qs, local(0), 0, "v", "w")) == []
