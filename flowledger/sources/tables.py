@@ -19,7 +19,7 @@ def write_snapshot(df: DataFrame, folder: str, table: str) -> None:
     checked(df, table).write.mode("errorifexists").parquet(f"{folder}/{table}")
 
 
-def read_live(spark: SparkSession, url: str, table: str, schema: str = "dbos", **options: str) -> DataFrame:
+def read_live(spark: SparkSession, url: str, table: str, schema: str, **options: str) -> DataFrame:
     """A table of a live system database over JDBC (needs its driver); filters and columns are pushed down."""
     names = ", ".join(f'"{c}"' for c in TABLES[table].names)
     return spark.read.format("jdbc").options(url=url, query=f'SELECT {names} FROM "{schema}"."{table}"', **options).load()
