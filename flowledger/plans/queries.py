@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cron, scalars
-from ..operators import admission, debounce, eventlog, integrity, lineage, lookups, reports, transitions
+from ..operators import admission, debounce, eventlog, integrity, lineage, lookups, registration, reports, transitions
 from ..sources.projection import LEASE_NOW, NOW, History, duck_ctes
 from .filters import WorkflowFilter, list_workflows
 
@@ -290,3 +290,51 @@ def _inventory(h: History) -> DataFrame:
 
     taken = F.sum(F.lit(1)).over(Window.partitionBy("workflow_uuid", "function_name").orderBy("function_id"))
     return h.oo.select("workflow_uuid", "function_id", "function_name", (taken <= 2).alias("accepted"))
+
+
+# -- Registration, requests of SQL clients, upserts
+def _rows(h: History, text: str) -> DataFrame:
+    return h.spark.sql(re.sub(r"\bFROM (ws|oo|ev)\b", r"FROM {\1}", text), **{n: getattr(h, n) for n in ("ws", "oo", "ev") if f"FROM {n}" in text})
+
+
+SCHEDULES = "SELECT * FROM (VALUES ('s1', 'daily', 'report/1', '@daily', 'PAUSED', '5'), ('s2', 'hourly', 'sweep/1', '@hourly', 'ACTIVE', NULL)) t(schedule_id, schedule_name, workflow_name, schedule, status, last_fired_at)"
+INCOMING = "SELECT * FROM (VALUES ('s8', 'daily', 'report/2', '0 0 6 * * *'), ('s9', 'weekly', 'report/1', '@weekly')) t(schedule_id, schedule_name, workflow_name, schedule)"
+FIRED = "SELECT 'hourly' AS schedule_name, 900 AS epoch_ms UNION ALL SELECT 'none', 1"
+NEW_QUEUES = "SELECT * FROM (VALUES ('q0', 9, 9, NULL, NULL), ('q9', 1, 1, 10, 1000)) t(name, concurrency, worker_concurrency, rate_limit_max, rate_limit_period_ms)"
+ASKED = (
+    "SELECT workflow_uuid AS request, CASE WHEN recovery_attempts = 1 THEN workflow_uuid WHEN recovery_attempts = 2 AND priority = 2 THEN '' ELSE 'new-' || workflow_uuid END AS workflow_uuid, "
+    "CASE WHEN recovery_attempts = 3 AND priority = 1 THEN '' ELSE name END AS name, queue_name, CASE WHEN recovery_attempts = 4 THEN deduplication_id WHEN recovery_attempts = 0 THEN 'fresh' || cast(priority AS string) END AS deduplication_id, "
+    "CASE WHEN recovery_attempts = 3 AND priority = 3 THEN '[1]' ELSE attributes END AS named_args, cast(CASE WHEN priority = 4 THEN 0 WHEN priority = 5 AND recovery_attempts = 3 THEN -1 END AS bigint) AS delay_until_epoch_ms FROM ws"
+)
+add("mut_expire_leases", lambda h: registration.expire_leases(h.el, h.spark.sql("SELECT 'exec-2' AS executor_id UNION ALL SELECT 'exec-99'"), 500).select("executor_id", "lease_expires_epoch_ms"), "SELECT executor_id, CASE WHEN executor_id = 'exec-2' THEN 500 ELSE lease_expires_epoch_ms END AS lease_expires_epoch_ms FROM el")
+add("mut_register_schedules", lambda h: registration.register_schedules(_rows(h, SCHEDULES), _rows(h, INCOMING)), "SELECT coalesce(s.schedule_id, i.schedule_id) AS schedule_id, schedule_name, coalesce(i.workflow_name, s.workflow_name) AS workflow_name, coalesce(i.schedule, s.schedule) AS schedule, coalesce(s.status, 'ACTIVE') AS status, s.last_fired_at FROM s FULL JOIN i USING (schedule_name)", {"s": SCHEDULES, "i": INCOMING})
+add("mut_schedule_fired", lambda h: registration.mark_fired(_rows(h, SCHEDULES), _rows(h, FIRED)).select("schedule_name", "last_fired_at"), "SELECT schedule_name, coalesce(cast(epoch_ms AS varchar), last_fired_at) AS last_fired_at FROM s LEFT JOIN f USING (schedule_name)", {"s": SCHEDULES, "f": FIRED})
+add("mut_register_queues", lambda h: registration.register_queues(h.qs, _rows(h, NEW_QUEUES), h.vs, "v1"), "SELECT * FROM n UNION ALL SELECT * FROM qs WHERE name NOT IN (SELECT name FROM n)", {"n": NEW_QUEUES})
+add("mut_register_queues_old", lambda h: registration.register_queues(h.qs, _rows(h, NEW_QUEUES), h.vs, "v2"), "SELECT * FROM qs UNION ALL SELECT * FROM n WHERE name NOT IN (SELECT name FROM qs)", {"n": NEW_QUEUES})
+add(
+    "mut_enqueue_requests",
+    lambda h: registration.enqueue_requests(h.ws, _rows(h, ASKED).withColumn("positional_args", F.array(F.lit("1"), F.lit('"x"')))),
+    "SELECT request, workflow_uuid, CASE WHEN error IS NOT NULL THEN 'invalid' WHEN known THEN 'existing' WHEN deduplication_id IS NOT NULL AND (held OR row_number() OVER (PARTITION BY queue_name, deduplication_id, error IS NULL AND NOT known ORDER BY request) > 1) THEN 'duplicate' "
+    "WHEN delay_until_epoch_ms IS NOT NULL THEN 'DELAYED' ELSE 'ENQUEUED' END AS answer, error, '{\"positionalArgs\" : [1,\"x\"], \"namedArgs\" : ' || named_args || '}' AS inputs, delay_until_epoch_ms FROM ("
+    "SELECT *, CASE WHEN name = '' THEN 'Workflow name cannot be null or empty' WHEN queue_name IS NULL THEN 'Queue name cannot be null or empty' WHEN json_type(named_args) <> 'OBJECT' THEN 'Named args must be a JSON object' WHEN workflow_uuid = '' THEN 'Workflow ID cannot be an empty string if provided.' WHEN delay_until_epoch_ms < 0 THEN 'delay_until_epoch_ms must be >= 0' END AS error, "
+    "workflow_uuid IN (SELECT workflow_uuid FROM ws) AS known, EXISTS (SELECT 1 FROM ws WHERE ws.queue_name = a.queue_name AND ws.deduplication_id = a.deduplication_id) AS held FROM a)",
+    {"a": ASKED},
+)
+MARKS = "SELECT workflow_uuid, function_id + CASE WHEN function_name = 'ship' THEN 100 ELSE 0 END AS function_id, 'DBOS.patch-x' AS function_name FROM oo"
+add("mut_patch_markers", lambda h: registration.patch_markers(h.oo, _rows(h, MARKS)).select("workflow_uuid", "function_id", "function_name", "output"), "SELECT workflow_uuid, function_id, function_name, output FROM oo UNION ALL SELECT workflow_uuid, function_id, function_name, NULL FROM m WHERE (workflow_uuid, function_id) NOT IN (SELECT (workflow_uuid, function_id) FROM oo)", {"m": MARKS})
+SET = "SELECT workflow_uuid, key, function_id + 1 AS function_id, 'v' || cast(function_id AS string) AS value FROM ev"
+add("str_set_events", lambda h: registration.set_events(eventlog.latest_events(h.ev).select("workflow_uuid", "key", "value"), h.ev.select("workflow_uuid", "key", "function_id", "value"), _rows(h, SET))[0], "SELECT workflow_uuid, key, max_by(value, function_id) AS value FROM s GROUP BY workflow_uuid, key", {"s": SET})
+add("str_event_history", lambda h: registration.set_events(eventlog.latest_events(h.ev).select("workflow_uuid", "key", "value"), h.ev.select("workflow_uuid", "key", "function_id", "value"), _rows(h, SET))[1], "SELECT workflow_uuid, key, function_id, coalesce(s.value, ev.value) AS value FROM ev FULL JOIN s USING (workflow_uuid, key, function_id)", {"s": SET})
+
+
+def _ingested(h: History) -> DataFrame:
+    docs = h.spark.read.parquet(f"{h.sf_dir}/documents.parquet").select("doc_id", "text")
+    empty = h.spark.createDataFrame([], "doc_id bigint, chunk_index int, chunk string, embedding array<double>").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    store = registration.ingest_documents(empty, docs)
+    again = registration.ingest_documents(store, docs.withColumn("text", F.concat(F.lit("."), F.substring("text", 1, 700))))
+    return again.select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.round(F.col("embedding")[0], 9).alias("first"))
+
+
+CUTS = "SELECT doc_id, i::INT AS chunk_index, substr(t, i * 500 + 1, 500) AS chunk FROM {texts}, LATERAL (SELECT unnest(range(0, (length(t) + 499) // 500)) AS i)"
+add("app_ingest", _ingested, "SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5, round(('0x' || substr(md5(chunk), 1, 2))::INT / 255.0, 9) AS first FROM (SELECT doc_id, chunk_index, coalesce(n.chunk, o.chunk) AS chunk FROM o FULL JOIN n USING (doc_id, chunk_index))", {"o": CUTS.format(texts="(SELECT doc_id, text AS t FROM documents)"), "n": CUTS.format(texts="(SELECT doc_id, '.' || substr(text, 1, 700) AS t FROM documents)")})
+add("snk_text_lines", lambda h: registration.text_lines(reports.queue_depth(h.ws).select("queue_name", "depth"))[2], "SELECT rtrim(rpad(queue_name, greatest(10, (SELECT max(length(queue_name)) FROM d))::INT, ' ') || '  ' || rpad(cast(depth AS varchar), greatest(5, (SELECT max(length(cast(depth AS varchar))) FROM d))::INT, ' ')) AS line FROM d", {"d": "SELECT queue_name, count(*) AS depth FROM ws WHERE status = 'ENQUEUED' AND queue_name IS NOT NULL GROUP BY queue_name"})
