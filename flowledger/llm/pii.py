@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import SPAN, in_order, line, matches, overlaps
+from .spans import SPAN, blocked, bound, in_order, line, matches, overlaps
 
 # Kinds and patterns of the contract.  The look-behinds only keep a
 # search from starting again within a run; \G lets it start where a match ended.
@@ -208,11 +208,13 @@ def scan(docs: DataFrame, model: Trees | None = None, doc_id: str = "doc_id", te
     model = train(docs.sparkSession) if model is None else model
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = own.select("doc_id", "text", in_order(base_spans(F.col("text")), True).alias("base"), candidates(F.col("text")).alias("some"))
-    free = F.filter("some", lambda s: ~overlaps(s, F.col("base")))
+    free = bound(blocked(F.col("base")), lambda blocks: F.filter("some", lambda s: ~overlaps(s, blocks)))
     limit = lambda s: F.element_at(F.array(*[F.lit(float(model.limits[k])) for k in range(FIXED, len(KINDS))]), s["kind"] - FIXED + 1)
     scored = F.transform(free, lambda s: F.struct((limit(s) - model.column(features(F.col("text"), s))).alias("miss"), s["start"].alias("start"), s["kind"].alias("kind"), s["end_"].alias("end_")))
-    ranked = F.array_sort(F.filter(scored, lambda s: s["miss"] < 0))
-    added = F.filter(ranked, lambda s, i: ~F.exists(F.slice(ranked, F.lit(1), i), lambda o: (o["start"] < s["end_"]) & (s["start"] < o["end_"])))
+    wanted = F.filter(scored, lambda s: s["miss"] < 0)
+    # A candidate stays if no overlapping one comes before it by score, then place; each is scored once.
+    best = lambda all_: bound(blocked(all_), lambda blocks: F.filter(all_, lambda s: ~overlaps(s, blocks, lambda o: o < s)))
+    added = bound(wanted, best)
     added = F.transform(added, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end_"].alias("end_")))
     both = found.select("doc_id", "base", F.when(F.size("some") > 0, added).otherwise(F.array().cast("array<struct<kind:int,start:int,end_:int>>")).alias("added"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample
-from .spans import SPAN, in_order, line, matches, overlaps
+from .spans import SPAN, blocked, bound, in_order, line, matches, overlaps
 
 # The patterns of the contract and their kinds, in order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, weights: list[float] | None = None, doc_id: str = "doc
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = own.select("doc_id", base_spans(F.col("text")).alias("base"), matches(F.col("text"), RUN, 3).alias("runs"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    added = F.filter("runs", lambda s: ~overlaps(s, F.col("base")) & (ratio(s["value"], weights) > THRESHOLD))
+    added = bound(blocked(F.col("base")), lambda blocks: F.filter("runs", lambda s: ~overlaps(s, blocks) & (ratio(s["value"], weights) > THRESHOLD)))
     both = found.select("doc_id", in_order(F.col("base")).alias("base"), F.when(F.size("runs") > 0, added).otherwise(F.array().cast(SPAN)).alias("added"))
     return both.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),

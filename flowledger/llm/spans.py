@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,kind:int,end_:int,value:string>>"
 
 
+#: Matches are placed in blocks of this many, so that appending to an array never copies a long one.
+BLOCK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def in_blocks(items: Column) -> Column:
+    """``items`` in slices of BLOCK, one at least."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(items, i, BLOCK))
+
+
 def matches(text: Column, pattern: str, kind: int, keep=None, gate: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as structs (start, kind, end_, value), places in code points, end exclusive.
 
@@ -24,9 +38,14 @@ def matches(text: Column, pattern: str, kind: int, keep=None, gate: Column | Non
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end_"), pair["hit"].alias("value")))
         return F.struct(end.alias("at"), F.concat(acc["out"], span).alias("out"))
 
+    def add_block(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out")), add)
+        return bound(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
     pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda p: p["hit"].isNotNull())
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    placed = F.aggregate(pairs, begin, add, lambda acc: acc["out"])
+    blocks = bound(pairs, in_blocks)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    placed = F.flatten(F.aggregate(blocks, begin, add_block, lambda acc: acc["out"]))
     placed = F.filter(placed, lambda s: keep(s["value"])) if keep else placed
     return F.when(text.rlike(pattern) if gate is None else gate & text.rlike(pattern), placed).otherwise(F.array().cast(SPAN))
 
@@ -44,5 +63,12 @@ def in_order(spans: Column, kind_first: bool = False) -> Column:
     return turned
 
 
-def overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end_"]) & (span["start"] < o["end_"]))
+def blocked(spans: Column) -> Column:
+    """Spans in blocks with each block's bounds, which ``overlaps`` skips whole; quick where neighbours in ``spans`` lie near each other."""
+    return F.transform(bound(spans, in_blocks), lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("lo"), F.array_max(F.transform(b, lambda s: s["end_"])).alias("hi"), b.alias("spans")))
+
+
+def overlaps(span: Column, blocks: Column, also=None) -> Column:
+    """Whether ``span`` overlaps one of the spans of ``blocks``, for which ``also`` holds."""
+    hit = lambda o: (o["start"] < span["end_"]) & (span["start"] < o["end_"])
+    return F.exists(blocks, lambda b: F.coalesce((b["lo"] < span["end_"]) & (span["start"] < b["hi"]), F.lit(False)) & F.exists(b["spans"], lambda o: hit(o) & also(o) if also else hit(o)))
