@@ -428,6 +428,30 @@ def test_model_is_a_distribution(spark, docs):
         lm.PIECE = piece
 
 
+def test_weights_adapt_over_whole_texts(docs):
+    """Scores equal a plain loop over each text, whose weights never start anew, alone or beside other texts."""
+    sample = [r.text.encode() for r in docs.limit(40).collect()]
+    code = lm.prefix_code(sample)
+    counts = np.zeros((int(lm.table_starts()[-1]), 2), np.int64)
+    lm.count(code, sample, counts)
+    tables = lm.gated_odds(counts, np.full((len(lm.ORDERS), lm.BUCKETS), 0.4))
+    texts = [b"", b"the", b"zq xj " * 400, b" ".join(sample)[:5000], *sample[:8]]
+
+    def plain(text):
+        w, total = [1.0] * len(tables), 0.0
+        for places in zip(*lm.choices(code, [(b"", text, True)])[1]):
+            x = [float(t[i]) for t, i in zip(tables, places)]
+            p = 1 / (1 + np.exp(-max(-30.0, sum(a * b for a, b in zip(x, w)))))
+            total += np.log(p)
+            w = [a + lm.RATE * (1 - p) * b for a, b in zip(w, x)]
+        return total
+
+    got, expected = lm.score_texts(code, tables, texts), np.array([plain(x) for x in texts])
+    assert np.allclose(got, expected, rtol=1e-5, atol=1e-3)
+    assert np.allclose([lm.score_long(code, tables, x) for x in texts[1:]], expected[1:], rtol=1e-9)
+    assert np.array_equal(got[2:5], np.concatenate([lm.score_texts(code, tables, [x]) for x in texts[2:5]]))
+
+
 def test_scores_awkward(spark):
     got = lm.score(awkward(spark)).collect()
     assert len(got) == 11 and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1} and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
