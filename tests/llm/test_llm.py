@@ -452,6 +452,24 @@ def test_weights_adapt_over_whole_texts(docs):
     assert np.array_equal(got[2:5], np.concatenate([lm.score_texts(code, tables, [x]) for x in texts[2:5]]))
 
 
+def test_tables_grow_with_training_text(spark, docs, monkeypatch):
+    """A table has slots in proportion to the training text, and counts in larger tables lose and add none."""
+    assert lm.table_bits(0) == lm.BITS and lm.table_bits(1 << 36)[2] == 28 and lm.table_bits(1 << 36)[1] == 25
+    with pytest.raises(ValueError):
+        lm.table_bits(1 << 40)
+    small = lm.train(docs)
+    monkeypatch.setattr(lm, "SLOT_BYTES", (None, 1, 0.25))
+    large, size = lm.train(docs), docs.where(F.crc32(F.col("doc_id").cast("string")) % lm.FOLDS != 0).agg(F.sum(F.octet_length("text"))).first()[0]
+    assert [len(t) // 2 for t in large.tables] == [1 << b for b in large.code.bits] and len(large.tables[2]) // 2 >= 4 * size
+    known = lambda fitted: [int(np.count_nonzero(t)) for t in fitted.tables]
+    assert known(large)[0] == known(small)[0] and known(large)[1] > known(small)[1] and known(large)[2] > known(small)[2]
+    texts = [r.text.encode() for r in docs.limit(20).collect()]
+    own = np.zeros((int(lm.table_starts(large.code.bits)[-1]), 2), np.int64)
+    lm.count(large.code, texts, own)
+    sums = [own[a:b].sum() for a, b in itertools.pairwise(lm.table_starts(large.code.bits))]
+    assert sums[0] == sums[1] == sums[2] > 0
+
+
 def test_scores_awkward(spark):
     got = lm.score(awkward(spark)).collect()
     assert len(got) == 11 and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1} and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
