@@ -9,6 +9,10 @@ counted in diagonal bands of width 2(e + 1) that overlap by half, so that
 every such run of diagonals lies within one band; bands under the bound are
 dropped, and what remains is verified by banded alignment of the whole passage.
 
+Passages of ``FRAGMENT`` code points and more that stand in a document verbatim
+are found at any place of the item: each such run holds a q-gram of the item at
+a multiple of FRAGMENT - q + 1, from which the run is followed to both sides.
+
 The passages are a stated query set that all rows are held against: they are
 broadcast in blocks of ``BLOCK_CHARS`` code points, whose size is thereby
 bounded, with one pass over the documents for each block.
@@ -31,6 +35,7 @@ from .langid import points
 Q = 12
 PASSAGE = 96
 ERROR = 1 / 16
+FRAGMENT = 64
 BLOCK_CHARS = 4_000_000
 PORTION = 2_000_000
 TABLE_BITS = 22
@@ -79,6 +84,9 @@ def gram_hashes(line: np.ndarray, q: int = Q) -> np.ndarray:
             size *= 2
 
 
+ITEM_STOP = 0xFFFFFFFF
+
+
 @dataclass
 class Index:
     item: np.ndarray  # by passage
@@ -90,10 +98,12 @@ class Index:
     passage: np.ndarray
     offset: np.ndarray
     seen: np.ndarray  # bit table by the upper bits of a value
+    whole: np.ndarray  # all items in a row, each with ITEM_STOP before and after it
+    anchor: np.ndarray  # by posting: the q-gram's place in ``whole`` if fragments are followed from it, else 0
 
 
 def index(items: list[tuple[int, str | None]], q: int = Q, passage: int = PASSAGE, error: float = ERROR) -> Index:
-    own, lines = [], []
+    own, lines, home, whole, size = [], [], [], [np.array([ITEM_STOP], np.uint32)], 1
     for item, text in items:
         line = plain(text or "")
         if len(line) >= q:
@@ -101,6 +111,9 @@ def index(items: list[tuple[int, str | None]], q: int = Q, passage: int = PASSAG
             for end in ends:
                 own.append(item)
                 lines.append(line[max(0, end - passage) : end])
+                home.append((size, max(0, end - passage)))
+            whole += [line.astype(np.uint32), whole[0]]
+            size += len(line) + 1
     edits = np.array([max(0, min(int(len(x) * error), (len(x) - q) // q)) for x in lines], dtype=np.int64)
     needed = np.array([len(x) - q + 1 - q * e for x, e in zip(lines, edits)], dtype=np.int64)
     hashes = [gram_hashes(x, q) for x in lines]
@@ -111,22 +124,50 @@ def index(items: list[tuple[int, str | None]], q: int = Q, passage: int = PASSAG
     gram, begin = np.unique(every[order], return_index=True)
     seen = np.zeros(1 << TABLE_BITS, dtype=bool)
     seen[(gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Index(np.array(own, dtype=np.int64), lines, edits, needed, gram, np.append(begin, len(every)), passage_of[order], offset[order], seen)
+    start, shift = np.array(home, dtype=np.int64).reshape(-1, 2).T
+    place = shift[passage_of] + offset  # in the item
+    anchor = np.where(place % (FRAGMENT - q + 1) == 0, start[passage_of] + place, 0)
+    anchor[np.setdiff1d(np.arange(len(anchor)), np.unique(anchor, return_index=True)[1])] = 0  # passages overlap: once each
+    return Index(np.array(own, dtype=np.int64), lines, edits, needed, gram, np.append(begin, len(every)), passage_of[order], offset[order], seen, np.concatenate(whole), anchor[order])
 
 
-def candidates(ix: Index, line: np.ndarray, starts: np.ndarray, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, passage, first diagonal of a band) with enough shared q-grams. ``line``: texts in a row, parted by code point 0."""
+def shared_grams(ix: Index, line: np.ndarray, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``line``, posting) of all q-grams shared with passages. ``line``: texts in a row, parted by code point 0."""
     none = np.zeros(0, np.int64)
     value = gram_hashes(line, q)
     at = np.flatnonzero(ix.seen[(value >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
     if not len(at) or not len(ix.gram):
-        return none, none, none
+        return none, none
     spot = np.minimum(np.searchsorted(ix.gram, value[at]), len(ix.gram) - 1)
     real = ix.gram[spot] == value[at]
     at, spot = at[real], spot[real]
     many = ix.begin[spot + 1] - ix.begin[spot]
     at = np.repeat(at, many)
     posting = np.repeat(ix.begin[spot], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    return at, posting
+
+
+def fragments(ix: Index, line: np.ndarray, at: np.ndarray, posting: np.ndarray, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, end) of the runs of FRAGMENT code points and more shared with an item, by places in ``line``."""
+    own = ix.anchor[posting]
+    at, own, item = at[own > 0], own[own > 0], ix.item[ix.passage[posting[own > 0]]]
+    reach = []
+    for first, step in ((-1, -1), (q, 1)):
+        length, alive, j = np.zeros(len(at), np.int64), np.arange(len(at)), first
+        while len(alive):
+            place = at[alive] + j
+            inside = (place >= 0) & (place < len(line))
+            same = inside & (line[np.clip(place, 0, len(line) - 1)] == ix.whole[own[alive] + j])
+            alive = alive[same]  # items end in ITEM_STOP, which no text holds
+            length[alive] += 1
+            j += step
+        reach.append(length)
+    long = reach[0] + q + reach[1] >= FRAGMENT
+    return item[long], (at - reach[0])[long], (at + q + reach[1])[long]
+
+
+def candidates(ix: Index, starts: np.ndarray, at: np.ndarray, posting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, passage, first diagonal of a band) with enough shared q-grams."""
     passage, offset = ix.passage[posting], ix.offset[posting]
     text = np.searchsorted(starts, at, side="right") - 1
     half = ix.edits[passage] + 1
@@ -172,13 +213,14 @@ def banded_distance(line: np.ndarray, passage: np.ndarray, diagonal: int, width:
 
 
 def scan(ix: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, start, end) of each text's best passage of each item; positions in the normal form."""
+    """(text, item, edits, start, end) of each text's best passage of each item, or longest fragment if it has no passage; positions in the normal form."""
     lines = [plain(x or "") for x in texts]
     stop = np.zeros(1, np.uint32)
     whole = np.concatenate([y for x in lines for y in (x, stop)] + [stop])
     starts = np.cumsum([0] + [len(x) + 1 for x in lines[:-1]]) if lines else np.zeros(0, np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for text, p, diagonal in zip(*(x.tolist() for x in candidates(ix, whole, starts))):
+    at, posting = shared_grams(ix, whole)
+    for text, p, diagonal in zip(*(x.tolist() for x in candidates(ix, starts, at, posting))):
         key, edits = (text, int(ix.item[p])), int(ix.edits[p])
         if best.get(key, (1,))[0] == 0:
             continue
@@ -187,6 +229,13 @@ def scan(ix: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, i
         cost, end = banded_distance(part, ix.line[p], diagonal - low, 2 * (edits + 1), edits)
         if cost <= edits:
             best[key] = min(best.get(key, (cost, 1 << 60, 0)), (cost, max(0, low + end - len(ix.line[p])), low + end))
+    runs: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for item, start, end in zip(*(x.tolist() for x in fragments(ix, whole, at, posting))):
+        text = int(np.searchsorted(starts, start, side="right")) - 1
+        if (text, item) not in best:
+            low = int(starts[text])
+            runs[text, item] = min(runs.get((text, item), (0, 0, 0)), (start - end, start - low, end - low))
+    best |= {key: (0, start, end) for key, (_, start, end) in runs.items()}
     return [(*key, *found) for key, found in best.items()]
 
 
@@ -215,7 +264,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row for each document and benchmark item of which it holds a passage: doc_id, item_id, edits, start, end_.
 
     ``edits``, ``start`` and ``end_`` are of the item's best passage in the
-    document, in code points of the normal form; ties go to the first.  Null and
+    document, in code points of the normal form; ties go to the first.  Without
+    one they are of its longest verbatim run of ``FRAGMENT`` code points or more
+    (no edits).  Null and
     empty texts, and items of under ``Q`` normal code points, match nothing.
     Repeated documents are reported each; repeated items once by item_id.  Other
     columns are ignored; an empty table on either side gives an empty result.

@@ -147,6 +147,26 @@ def test_decontamination_equals_brute_force(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in expected}
 
 
+def test_decontamination_finds_verbatim_fragments(spark):
+    """Any run of FRAGMENT normal code points of an item, wherever it begins, against brute force over all runs."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n)).strip()
+    items = [(i, text(n)) for i, n in enumerate([80, 150, 400, 90])]
+    lines = {i: "".join(map(chr, decontam.plain(x))) for i, x in items}
+    rows = []
+    for i, x in lines.items():
+        for size in (50, 63, 64, 65, 72, 96, 120):
+            rows += [(len(rows) + k, f"{text(60)}# {x[at : at + size]} #{text(60)}") for k, at in enumerate(range(0, len(x) - size + 1, 7))]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    size, expected = decontam.FRAGMENT, set()
+    for d, t in rows:
+        line = "".join(map(chr, decontam.plain(t)))
+        expected |= {(d, i) for i, x in lines.items() if any(x[a : a + size] in line for a in range(len(x) - size + 1))}
+    assert expected <= got and len(expected) > 150 and len(got) < len(rows)
+    short = decontam.scan(decontam.index(items), [lines[2][101 : 101 + 70], lines[2][101 : 101 + 50]])
+    assert [x[:3] for x in short] == [(0, 2, 0)] and short[0][3] == 0 and short[0][4] == len(decontam.plain(lines[2][101:171]))
+
+
 def test_decontamination_awkward(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "the cat sat on the mat with the hat"), (4, "short")], "item_id long, text string")
