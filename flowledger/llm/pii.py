@@ -34,7 +34,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS = {
     "local_phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})(?![A-Za-z0-9])",
     "veiled_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(][aA][tT][\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(][dD][oO][tT][\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
     "digits": r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9]){8,}+",
     "long_host": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
@@ -45,6 +45,8 @@ FIXED = 4
 # Words that speak for and against personal data when they stand before a candidate.
 CUES = ["phone", "call", "tel", "mobile", "fax", "ssn", "social", "passport", "iban", "account", "mail", "contact", "host", "login"]
 COUNTER = ["order", "invoice", "isbn", "version", "part", "serial", "total", "build", "page", "ticket"]
+#: Country, length and a bank's letters of bank account numbers in the samples.
+ACCOUNTS = [("NO", 15, ""), ("BE", 16, ""), ("DK", 18, ""), ("NL", 18, "ABNA"), ("AT", 20, ""), ("CH", 21, ""), ("DE", 22, ""), ("GB", 22, "NWBK"), ("ES", 24, ""), ("FR", 27, ""), ("IT", 27, "X"), ("PL", 28, ""), ("MT", 31, "MALT")]
 BEFORE = 24
 SAMPLES = 6000
 TREES = 24
@@ -106,11 +108,15 @@ def samples(spark: SparkSession, count: int = SAMPLES) -> DataFrame:
     d = F.translate(F.sha2(F.concat(F.lit("pii "), F.col("id").cast("string")).cast("binary"), 256), "abcdef", "013579")
     pick = lambda some, salt: F.element_at(F.array(*[F.lit(x) for x in some]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(some))) + 1).cast("int"))
     s = lambda a, n: F.substring(d, a, n)
+    # A bank account number of its country's length, in groups of four or together.
+    bban = F.concat(d, d)
+    whole = F.element_at(F.array(*[F.concat(F.lit(c), s(1, 2), F.lit(b), F.substring(bban, 3, n - 4 - len(b))) for c, n, b in ACCOUNTS]), (F.pmod(F.xxhash64("id", F.lit("country")), F.lit(len(ACCOUNTS))) + 1).cast("int"))
+    account = F.when(F.pmod(F.xxhash64("id", F.lit("together")), F.lit(2)) == 0, whole).otherwise(F.rtrim(F.regexp_replace(whole, "(.{4})", "$1 ")))
     form = F.element_at(
         F.array(
             F.concat(F.lit("("), s(1, 3), F.lit(") "), s(4, 3), F.lit("-"), s(7, 4)),
             F.concat(s(1, 3), F.lit("-"), s(4, 2), F.lit("-"), s(6, 4)),
-            F.concat(F.lit("DE"), s(1, 2), F.lit(" "), s(3, 4), F.lit(" "), s(7, 4), F.lit(" "), s(11, 4), F.lit(" "), s(15, 4)),
+            account,
             F.concat(F.lit("user"), s(1, 3), F.lit(" (at) mail"), s(4, 1), F.lit(" (dot) org")),
             F.substring(d, F.lit(1), (F.lit(9) + F.pmod(F.xxhash64("id", F.lit("n")), F.lit(9))).cast("int")),
             F.concat(s(1, 4), F.lit(":"), s(5, 4), F.lit(":"), s(9, 4), F.lit(":"), s(13, 4), F.lit(":"), s(17, 4), F.lit(":"), s(21, 4), F.lit(":"), s(25, 4), F.lit(":"), s(29, 4)),

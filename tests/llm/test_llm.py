@@ -323,6 +323,14 @@ def test_pii_model(spark):
     assert pii.scan(awkward(spark), model).count() == 11 and pii.scan(awkward(spark).limit(0), model).count() == 0
 
 
+def test_pii_accounts_of_any_length(spark):
+    numbers = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300", "NO9386011117947", "BE68539007547034", "CH9300762011623852957", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S"]
+    forms = numbers + [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in numbers]
+    rows = [(i, f"iban: {x} and so on.") for i, x in enumerate(forms)]
+    got = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: f"account:6:{6 + len(x)}" for i, x in enumerate(forms)}.items() <= got.items()
+
+
 def test_language_accuracy(spark, sf_dir, docs):
     got = queries.op7_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
