@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,18 +117,46 @@ def cascade(dropped: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataF
     return {n: df.join(dropped.withColumnRenamed("workflow_uuid", CHILDREN[n]), CHILDREN[n], "left_anti") for n, df in tables.items()}
 
 
-def fork(ws: DataFrame, oo: DataFrame, history: DataFrame, asked: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """asked(workflow_uuid, new_id, start_step) → (new workflows, their copied steps, their events).
+class Forked(NamedTuple):
+    workflows: DataFrame
+    steps: DataFrame
+    events: DataFrame
+    history: DataFrame
+    streams: DataFrame | None
+    marked: DataFrame
+
+
+#: What a fork's row takes over from the original, as far as the snapshot has it.
+FORKED = ["name", "authenticated_user", "assumed_role", "authenticated_roles", "application_id", "inputs", "serialization", "class_name", "config_name", "attributes", "ex_workflow_version"]
+
 
-    Steps and events before start_step are copied, without compensations; the
-    events' current values are the latest of those.
+def fork(ws: DataFrame, oo: DataFrame, history: DataFrame, asked: DataFrame, now_ms: int, streams: DataFrame | None = None, executor: str | None = None) -> Forked:
+    """asked(workflow_uuid, new_id, start_step, perhaps new_version) → new workflows, their steps, current events, event history and streams, and the snapshot with the originals marked.
+
+    Steps, events and stream values before start_step are copied, without
+    compensations and notifications; the events' current values are the latest
+    of those.  A new_version that isn't null replaces the original's.
     """
-    new = ws.join(asked, "workflow_uuid").select(F.col("new_id").alias("workflow_uuid"), F.lit("ENQUEUED").alias("status"), "name", "inputs", "application_version", F.lit(INTERNAL_QUEUE).alias("queue_name"), F.col("workflow_uuid").alias("forked_from"), F.lit(now_ms).cast("long").alias("created_at"))
-    steps = oo.join(asked, "workflow_uuid").where(F.col("function_id") < F.col("start_step")).select(F.col("new_id").alias("workflow_uuid"), "function_id", "function_name", "output", "error", "child_workflow_id")
-    before = history.join(asked, "workflow_uuid").where(F.col("function_id") < F.col("start_step"))
+    own = asked.select("workflow_uuid", "new_id", "start_step", (F.col("new_version") if "new_version" in asked.columns else no("string")).alias("_version"))
+
+    def before(df: DataFrame) -> DataFrame:
+        return df.join(own, "workflow_uuid").where(F.col("function_id") < F.col("start_step"))
+
+    def copied(df: DataFrame, left_out: tuple[str, ...] = ()) -> list:
+        return [F.col("new_id").alias("workflow_uuid"), *[c for c in df.columns if c not in ("workflow_uuid", *left_out)]]
+
+    at = F.lit(now_ms).cast("long")
+    new = ws.join(own, "workflow_uuid").select(
+        F.col("new_id").alias("workflow_uuid"), F.lit("ENQUEUED").alias("status"), *[c for c in FORKED if c in ws.columns], F.coalesce("_version", "application_version").alias("application_version"), F.lit(INTERNAL_QUEUE).alias("queue_name"),
+        F.lit(executor).cast("string").alias("executor_id"), F.lit(0).cast("long").alias("recovery_attempts"), F.col("workflow_uuid").alias("forked_from"), at.alias("created_at"), at.alias("updated_at"),
+    )
     latest = Window.partitionBy("new_id", "key").orderBy(F.col("function_id").desc())
-    events = before.withColumn("rn", F.row_number().over(latest)).where("rn = 1").select(F.col("new_id").alias("workflow_uuid"), "key", "value")
-    return new, steps, events
+    current = before(history).withColumn("rn", F.row_number().over(latest)).where("rn = 1")
+    events = current.select(F.col("new_id").alias("workflow_uuid"), "key", "value", *[c for c in ("serialization",) if c in history.columns])
+    hit = F.coalesce(F.col("_named"), F.lit(False))
+    known = F.coalesce(F.col("was_forked_from"), F.lit(False)) if "was_forked_from" in ws.columns else F.lit(False)
+    marked = named(ws, asked).withColumn("was_forked_from", hit | known).drop("_named")
+    return Forked(new, before(oo).select(copied(oo, ("ex_compensation",))), events, before(history).select(copied(history)), None if streams is None else before(streams).select(copied(streams)), marked)
 
 
 def insert_enqueued(ws: DataFrame, asked: DataFrame, now_ms: int) -> DataFrame:

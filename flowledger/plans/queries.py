@@ -217,12 +217,24 @@ FORKS = "SELECT workflow_uuid, workflow_uuid || '-f' AS new_id, 3 AS start_step
 
 
 def _forks(h: History, part: int) -> DataFrame:
-    return transitions.fork(h.ws, h.oo, h.ev, h.ws.where("status = 'ERROR'").selectExpr("workflow_uuid", "workflow_uuid || '-f' AS new_id", "3 AS start_step"), NOW)[part]
+    """Its columns that the SQL of the three oldest queries has; ``_forked`` has all."""
+    shown = ["workflow_uuid status name inputs application_version queue_name forked_from created_at", "workflow_uuid function_id function_name output error child_workflow_id", "workflow_uuid key value"][part]
+    return transitions.fork(h.ws, h.oo, h.ev, h.ws.where("status = 'ERROR'").selectExpr("workflow_uuid", "workflow_uuid || '-f' AS new_id", "3 AS start_step"), NOW)[part].select(*shown.split())
+
+
+def _forked(h: History) -> transitions.Forked:
+    asked = h.ws.where("status = 'ERROR'").selectExpr("workflow_uuid", "workflow_uuid || '-f' AS new_id", "3 AS start_step", "CASE WHEN recovery_attempts = 0 THEN 'v9' END AS new_version")
+    return transitions.fork(h.ws, h.oo, h.ev, asked, NOW, h.sf, "exec-9")
 
 
 add("mut_fork_workflows", lambda h: _forks(h, 0), f"SELECT new_id AS workflow_uuid, 'ENQUEUED' AS status, name, inputs, application_version, '_dbos_internal_queue' AS queue_name, workflow_uuid AS forked_from, {NOW} AS created_at FROM ws JOIN f USING (workflow_uuid)", {"f": FORKS})
 add("mut_fork_steps", lambda h: _forks(h, 1), "SELECT new_id AS workflow_uuid, function_id, function_name, output, error, child_workflow_id FROM oo JOIN f USING (workflow_uuid) WHERE function_id < start_step", {"f": FORKS})
 add("mut_fork_events", lambda h: _forks(h, 2), "SELECT new_id AS workflow_uuid, key, value FROM ev JOIN f USING (workflow_uuid) WHERE function_id < start_step QUALIFY row_number() OVER (PARTITION BY new_id, key ORDER BY function_id DESC) = 1", {"f": FORKS})
+add("mut_fork_workflows_whole", lambda h: _forked(h).workflows, f"SELECT new_id AS workflow_uuid, 'ENQUEUED' AS status, name, authenticated_user, inputs, attributes, ex_workflow_version, CASE WHEN recovery_attempts = 0 THEN 'v9' ELSE application_version END AS application_version, '_dbos_internal_queue' AS queue_name, 'exec-9' AS executor_id, 0 AS recovery_attempts, workflow_uuid AS forked_from, {NOW} AS created_at, {NOW} AS updated_at FROM ws JOIN f USING (workflow_uuid)", {"f": FORKS})
+add("mut_fork_steps_whole", lambda h: _forked(h).steps, "SELECT new_id AS workflow_uuid, function_id, function_name, output, error, child_workflow_id, started_at_epoch_ms, completed_at_epoch_ms FROM oo JOIN f USING (workflow_uuid) WHERE function_id < start_step", {"f": FORKS})
+add("mut_fork_history", lambda h: _forked(h).history, "SELECT new_id AS workflow_uuid, ev.* EXCLUDE (workflow_uuid) FROM ev JOIN f USING (workflow_uuid) WHERE function_id < start_step", {"f": FORKS})
+add("mut_fork_streams", lambda h: _forked(h).streams, "SELECT new_id AS workflow_uuid, sf.* EXCLUDE (workflow_uuid) FROM sf JOIN f USING (workflow_uuid) WHERE function_id < start_step", {"f": FORKS})
+add("mut_fork_marked", lambda h: _forked(h).marked, "SELECT *, status = 'ERROR' AS was_forked_from FROM ws")
 add("mut_insert_enqueued", lambda h: transitions.insert_enqueued(h.ws, h.ws.where("recovery_attempts < 3").selectExpr("CASE WHEN recovery_attempts = 0 THEN workflow_uuid ELSE 'new-' || workflow_uuid END AS workflow_uuid", "queue_name", "deduplication_id", "1000 * (recovery_attempts - 1) AS delay_ms"), NOW), f"SELECT workflow_uuid, answer, CASE WHEN answer = 'DELAYED' THEN {NOW} + delay_ms END AS delay_until_epoch_ms FROM (SELECT *, CASE WHEN r = 0 THEN 'existing' WHEN queue_name IS NOT NULL AND deduplication_id IS NOT NULL THEN 'duplicate' WHEN delay_ms > 0 THEN 'DELAYED' ELSE 'ENQUEUED' END AS answer FROM (SELECT CASE WHEN recovery_attempts = 0 THEN workflow_uuid ELSE 'new-' || workflow_uuid END AS workflow_uuid, recovery_attempts AS r, queue_name, deduplication_id, 1000 * (recovery_attempts - 1) AS delay_ms FROM ws WHERE recovery_attempts < 3))")
 add("mut_upsert_status", lambda h: transitions.upsert_status(h.ws, h.ws.where("recovery_attempts < 3").selectExpr("CASE WHEN recovery_attempts = 0 THEN 'new-' || workflow_uuid ELSE workflow_uuid END AS workflow_uuid", "CASE WHEN status = 'PENDING' THEN 'ENQUEUED' ELSE 'PENDING' END AS status", "'me' AS executor_id")), "SELECT workflow_uuid, status, CASE WHEN recovery_attempts BETWEEN 1 AND 2 AND status <> 'PENDING' THEN 'me' ELSE executor_id END AS executor_id, CASE WHEN recovery_attempts BETWEEN 1 AND 2 AND status <> 'PENDING' THEN recovery_attempts + 1 ELSE recovery_attempts END AS recovery_attempts FROM ws UNION ALL SELECT 'new-' || workflow_uuid, CASE WHEN status = 'PENDING' THEN 'ENQUEUED' ELSE 'PENDING' END, 'me', CASE WHEN status = 'PENDING' THEN 0 ELSE 1 END FROM ws WHERE recovery_attempts = 0")
 add("mut_reconcile_steps", lambda h: transitions.reconcile_steps(h.oo, h.oo.withColumns({"function_id": (F.col("function_id") + F.when(F.col("function_name") == "ship", 100).otherwise(0)).cast("int"), "output": F.when(F.col("function_name") == "refund", F.lit("x")).otherwise(F.col("output")), "function_name": F.when(F.col("function_name") == "notify", F.lit("y")).otherwise(F.col("function_name"))})), "SELECT workflow_uuid, CASE WHEN function_name = 'ship' THEN function_id + 100 ELSE function_id END AS function_id, CASE function_name WHEN 'ship' THEN 'inserted' WHEN 'notify' THEN 'unexpected_step' WHEN 'refund' THEN 'conflict' ELSE 'same' END AS answer FROM oo")

@@ -104,6 +104,7 @@ def _values(rows: list[tuple], names: str) -> str:
 SOURCES = {
     "ws": (WS, "orders join customer on o_custkey = c_custkey"), "oo": (OO, OO_FROM), "el": (LEASES, "supplier where s_suppkey < 12"),
     "ev": (EVENTS, "events"), "st": (STREAMS, "events"), "nt": (MAIL, "conversations"),
+    "sf": (STREAMS | {"function_id": EVENTS["function_id"]}, "events"),
 }
 NAMED = {"qs": _values(QUEUES, "name, concurrency, worker_concurrency, rate_limit_max, rate_limit_period_ms"), "vs": _values(VERSIONS, "version_name, version_timestamp")}
 
@@ -133,5 +134,6 @@ class History:
     ev = cached_property(lambda self: self._build("ev"))
     st = cached_property(lambda self: self._build("st"))
     nt = cached_property(lambda self: self._build("nt"))
+    sf = cached_property(lambda self: self._build("sf"))
     qs = cached_property(lambda self: self.spark.sql(NAMED["qs"]))
     vs = cached_property(lambda self: self.spark.sql(NAMED["vs"]))

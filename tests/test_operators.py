@@ -209,3 +209,17 @@ def test_queue_outcomes(spark):
     got = lambda n: {r.queue_name: (r.claimed, r.blocked) for r in admission.outcomes(df, qs, local(n), 0, "v", "v").collect()}
     assert got(1) == {"q": (1, None), "none": (0, "empty")} and got(2)["q"] == (0, "no_capacity")
     assert ids(admission.dequeue(df, qs, local(0), 0, "v", "v")) == ["w0", "w1"] and ids(admission.dequeue(df, qs, local(0), 0, "v", "w")) == []
+
+
+def test_fork_copies_all(spark):
+    """Roles, class names, streams and history come along; the original is marked, other marks stay."""
+    ws = spark.createDataFrame([("a", "n", "u", "r", "v1", "C", "json", False), ("b", "n", None, None, "v1", None, None, True), ("c", "n", None, None, "v1", None, None, None)], "workflow_uuid string, name string, authenticated_user string, authenticated_roles string, application_version string, class_name string, serialization string, was_forked_from boolean")
+    oo = spark.createDataFrame([("a", 0, "f", 5, "undo"), ("a", 2, "g", 6, None)], "workflow_uuid string, function_id int, function_name string, started_at_epoch_ms long, ex_compensation string")
+    ev = spark.createDataFrame([("a", "k", 0, "x", "json"), ("a", "k", 1, "y", "json"), ("a", "k", 2, "z", "json")], "workflow_uuid string, key string, function_id int, value string, serialization string")
+    st = spark.createDataFrame([("a", "s", 0, 1, "p"), ("a", "s", 1, 2, "q")], "workflow_uuid string, key string, offset int, function_id int, value string")
+    got = transitions.fork(ws, oo, ev, spark.createDataFrame([("a", "a2", 2, "v2")], "workflow_uuid string, new_id string, start_step int, new_version string"), 7, st, "me")
+    new = got.workflows.first()
+    assert (new.workflow_uuid, new.authenticated_roles, new.class_name, new.serialization, new.application_version, new.executor_id, new.updated_at, new.forked_from) == ("a2", "r", "C", "json", "v2", "me", 7, "a")
+    assert [tuple(r) for r in got.steps.collect()] == [("a2", 0, "f", 5)] and [tuple(r) for r in got.events.collect()] == [("a2", "k", "y", "json")]
+    assert sorted(r.value for r in got.history.collect()) == ["x", "y"] and [tuple(r) for r in got.streams.collect()] == [("a2", "s", 0, 1, "p")]
+    assert {r.workflow_uuid: r.was_forked_from for r in got.marked.collect()} == {"a": True, "b": True, "c": False}
