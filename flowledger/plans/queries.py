@@ -137,6 +137,9 @@ add("win_latest_before", lambda h: eventlog.latest_before(h.ev, 40), "SELECT wor
 add("win_step_ids", lambda h: eventlog.step_ids(h.ev.select("workflow_uuid", "key", "at_ms", F.col("function_id").alias("seq")), ["at_ms", "seq"]), "SELECT workflow_uuid, key, at_ms, function_id AS seq, row_number() OVER (PARTITION BY workflow_uuid ORDER BY at_ms, function_id) - 1 AS function_id FROM ev")
 add("win_mailbox_heads", lambda h: eventlog.mailbox_heads(h.nt), "SELECT destination_uuid, topic, message_uuid, message FROM nt WHERE NOT consumed QUALIFY row_number() OVER (PARTITION BY destination_uuid, topic ORDER BY created_at_epoch_ms, message_uuid) = 1")
 add("str_consume", lambda h: eventlog.consume(h.nt), "SELECT destination_uuid, topic, message, created_at_epoch_ms, message_uuid, consumed OR (NOT consumed AND row_number() OVER (PARTITION BY destination_uuid, topic, consumed ORDER BY created_at_epoch_ms, message_uuid) = 1) AS consumed FROM nt")
+# Whole texts; ``nt`` has the first 12 characters of each.
+add("win_mailbox_heads_whole", lambda h: eventlog.mailbox_heads(h.nw), "SELECT destination_uuid, topic, message_uuid, message FROM nw WHERE NOT consumed QUALIFY row_number() OVER (PARTITION BY destination_uuid, topic ORDER BY created_at_epoch_ms, message_uuid) = 1")
+add("str_consume_whole", lambda h: eventlog.consume(h.nw), "SELECT destination_uuid, topic, message, created_at_epoch_ms, message_uuid, consumed OR (NOT consumed AND row_number() OVER (PARTITION BY destination_uuid, topic, consumed ORDER BY created_at_epoch_ms, message_uuid) = 1) AS consumed FROM nw")
 add("str_waiting", lambda h: eventlog.waiting(h.ws, h.nt), "SELECT workflow_uuid FROM ws WHERE workflow_uuid IN (SELECT destination_uuid FROM nt WHERE NOT consumed)")
 add("str_send", lambda h: eventlog.send(h.nt.where(F.col("created_at_epoch_ms") < 2), h.nt.withColumn("topic", F.when(F.col("topic") != "user", F.col("topic"))), h.ws).select("destination_uuid", "topic", "message_uuid"), "SELECT destination_uuid, CASE WHEN topic = 'user' THEN '__null__topic__' ELSE topic END AS topic, message_uuid FROM nt WHERE created_at_epoch_ms >= 2 AND destination_uuid IN (SELECT workflow_uuid FROM ws)")
 add("str_readable", lambda h: eventlog.readable(h.st), 'SELECT * FROM st WHERE "offset" < coalesce((SELECT min(s."offset") FROM st s WHERE s.value = \'__dbos_stream_closed__\' AND s.workflow_uuid = st.workflow_uuid AND s.key = st.key), 999999)')
@@ -339,14 +342,16 @@ add("str_set_events", lambda h: registration.set_events(eventlog.latest_events(h
 add("str_event_history", lambda h: registration.set_events(eventlog.latest_events(h.ev).select("workflow_uuid", "key", "value"), h.ev.select("workflow_uuid", "key", "function_id", "value"), _rows(h, SET))[1], "SELECT workflow_uuid, key, function_id, coalesce(s.value, ev.value) AS value FROM ev FULL JOIN s USING (workflow_uuid, key, function_id)", {"s": SET})
 
 
-def _ingested(h: History) -> DataFrame:
+def _ingested(h: History, second: int | None = 700) -> DataFrame:
+    """Chunks after a second version, of ``second`` characters of each text or (None) the whole."""
     docs = h.spark.read.parquet(f"{h.sf_dir}/documents.parquet").select("doc_id", "text")
     empty = h.spark.createDataFrame([], "doc_id bigint, chunk_index int, chunk string, embedding array<double>").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     store = registration.ingest_documents(empty, docs)
-    again = registration.ingest_documents(store, docs.withColumn("text", F.concat(F.lit("."), F.substring("text", 1, 700))))
+    again = registration.ingest_documents(store, docs.withColumn("text", F.concat(F.lit("."), F.substring("text", 1, second) if second else F.col("text"))))
     return again.select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.round(F.col("embedding")[0], 9).alias("first"))
 
 
 CUTS = "SELECT doc_id, i::INT AS chunk_index, substr(t, i * 500 + 1, 500) AS chunk FROM {texts}, LATERAL (SELECT unnest(range(0, (length(t) + 499) // 500)) AS i)"
 add("app_ingest", _ingested, "SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5, round(('0x' || substr(md5(chunk), 1, 2))::INT / 255.0, 9) AS first FROM (SELECT doc_id, chunk_index, coalesce(n.chunk, o.chunk) AS chunk FROM o FULL JOIN n USING (doc_id, chunk_index))", {"o": CUTS.format(texts="(SELECT doc_id, text AS t FROM documents)"), "n": CUTS.format(texts="(SELECT doc_id, '.' || substr(text, 1, 700) AS t FROM documents)")})
+add("app_ingest_whole", lambda h: _ingested(h, None), ORACLES["app_ingest"].replace("substr(text, 1, 700)", "text"))
 add("snk_text_lines", lambda h: registration.text_lines(reports.queue_depth(h.ws).select("queue_name", "depth"))[2], "SELECT rtrim(rpad(queue_name, greatest(10, (SELECT max(length(queue_name)) FROM d))::INT, ' ') || '  ' || rpad(cast(depth AS varchar), greatest(5, (SELECT max(length(cast(depth AS varchar))) FROM d))::INT, ' ')) AS line FROM d", {"d": "SELECT queue_name, count(*) AS depth FROM ws WHERE status = 'ENQUEUED' AND queue_name IS NOT NULL GROUP BY queue_name"})

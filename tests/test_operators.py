@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowledger import schema
 from flowledger.functions import cron, scalars
 from flowledger.operators import admission, debounce, eventlog, integrity, lineage, reports, transitions
+from flowledger.plans import queries
 from flowledger.plans.filters import WorkflowFilter, list_workflows
 
 
@@ -223,3 +224,10 @@ def test_fork_copies_all(spark):
     assert [tuple(r) for r in got.steps.collect()] == [("a2", 0, "f", 5)] and [tuple(r) for r in got.events.collect()] == [("a2", "k", "y", "json")]
     assert sorted(r.value for r in got.history.collect()) == ["x", "y"] and [tuple(r) for r in got.streams.collect()] == [("a2", "s", 0, 1, "p")]
     assert {r.workflow_uuid: r.was_forked_from for r in got.marked.collect()} == {"a": True, "b": True, "c": False}
+
+
+def test_mailbox_queries_give_whole_texts(spark, sf_dir):
+    own = {(f"m-{r.conv_id}-{r.turn}"): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    for name in ("win_mailbox_heads_whole", "str_consume_whole"):
+        got = queries.QUERIES[name](spark, sf_dir).collect()
+        assert got and all(r.message == own[r.message_uuid] for r in got)
