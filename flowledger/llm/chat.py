@@ -18,20 +18,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .spans import bound
 
-MARKS = r"^(?:[ \t]*>)+"
+#: A line's quote marks with blanks between them, up to the last mark; one loop over single characters, however many there are.
+MARKS = r"^[ \t>]*>"
+QUOTING = r"(?md)" + MARKS
 LEAST_WORDS = 3
 MOST_ROUNDS = 40
 
 
 def passages(text: Column) -> Column:
-    """array<struct<level, lines>>: runs of lines of one quote level, marks removed."""
-    lines = F.transform(F.split(text, r"\r?\n", -1), lambda x: F.struct(F.char_length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"), F.rtrim(F.regexp_replace(F.regexp_replace(x, MARKS, ""), "^ ", "")).alias("line")))
-    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (x["level"] != F.get(lines, i - 1)["level"]), i + 1)), lambda i: i.isNotNull())
-    runs = F.transform(starts, lambda at, k: F.slice(lines, at, F.coalesce(F.get(starts, k + 1), F.size(lines) + 1) - at))
-    parsed = F.transform(runs, lambda r: F.struct(F.get(r, 0)["level"].alias("level"), F.transform(r, lambda x: x["line"]).alias("lines")))
+    """array<struct<level, lines>>: runs of lines of one quote level, marks removed.
+
+    Lines are parsed once, each is held against the level of the one before it,
+    and runs are slices between changes, so the work grows with the text alone.
+    """
+
+    def parsed(x: Column) -> Column:
+        marks = F.regexp_extract(x, MARKS, 0)
+        return F.struct(F.char_length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.rtrim(F.regexp_replace(F.substring(x, F.char_length(marks) + 1, F.char_length(x)), "^ ", "")).alias("line"))
+
+    def runs(lines: Column) -> Column:
+        levels = F.transform(lines, lambda x: x["level"])
+        changed = F.zip_with(levels, F.concat(F.array(F.lit(-1)), F.slice(levels, 1, F.size(lines) - 1)), lambda now, before: now != before)
+        starts = F.filter(F.transform(changed, lambda c, i: F.when(c, i + 1)), lambda i: i.isNotNull())
+        cut = bound(starts, lambda at: F.arrays_zip(at.alias("at"), F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(lines) + 1)).alias("end")))
+        return F.transform(cut, lambda r: F.struct(F.get(lines, r["at"] - 1)["level"].alias("level"), F.transform(F.slice(lines, r["at"], r["end"] - r["at"]), lambda x: x["line"]).alias("lines")))
+
     plain = F.array(F.struct(F.lit(0).alias("level"), F.array(text).alias("lines")))
-    return F.when(text.rlike(r"(?m)^[ \t]*>"), parsed).otherwise(plain)
+    return F.when(text.rlike(QUOTING), bound(F.transform(F.split(text, r"\r?\n", -1), parsed), runs)).otherwise(plain)
 
 
 def normal(text: Column) -> Column:
@@ -72,7 +87,7 @@ def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     own = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parsed = own.withColumn("p", passages(F.col("text")))
     said = F.flatten(F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: units(x["lines"])))
-    quoting = parsed.where(F.exists("p", lambda x: x["level"] > 0))
+    quoting = parsed.where(F.col("text").rlike(QUOTING))
     quoted = quoting.select("conv_id", "turn", F.posexplode(F.filter("p", lambda x: x["level"] > 0)).alias("i", "q")).select("conv_id", "turn", "i", F.col("q.level").alias("level"), F.explode(units(F.col("q.lines"))).alias("u")).select("conv_id", "turn", "i", "level", "u.part", "u.hash")
     quoted = materialize(quoted.distinct(), "quotes")
     out = parsed.select(
