@@ -6,31 +6,39 @@ in that sample; the language that needs the fewest phrases per symbol wins.
 
 The automaton is flattened into one transition table in which a missing
 transition already points to where the next phrase begins, with a flag bit that
-counts the phrase.  Texts are cut into lanes of ``LANE`` symbols (a phrase ends
+counts the phrase.  Languages of over ``WIDE`` letters, and all of them where
+there are over ``MOST_DENSE`` languages, keep only the transitions that exist, as
+sorted keys.  Texts are cut into lanes of ``LANE`` symbols (a phrase ends
 with its lane; whole texts are covered), and all lanes advance together.
 
 The sample: for each language ``SAMPLE_DOCS`` documents at most (smallest id
-hashes), and of their symbols the first ``SAMPLE_SYMBOLS`` at most, less if
-there are so many languages that ``MODEL_SYMBOLS`` in all would be exceeded.
-The bounds keep the broadcast model under 100 MB.
+hashes), and of their symbols the first ``SAMPLE_SYMBOLS`` at most; fewer of both
+if there are so many languages that ``SAMPLE_ROWS`` documents or
+``MODEL_SYMBOLS`` symbols in all would be exceeded.  So the broadcast model stays
+under some 100 MB.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, portions
+from .common import arrays_of, bounded_sample, fold, portions
 
 SAMPLE_DOCS = 48
 SAMPLE_SYMBOLS = 30_000
-MODEL_SYMBOLS = 240_000
+SAMPLE_ROWS = 4096
+SAMPLE_CHARS = 12_000_000  # of all languages, before they are squeezed
+MODEL_SYMBOLS = 1_000_000
+WIDE = 300
+MOST_DENSE = 12
 LANE = 512
 FOLDS = 5
 #: Above this many phrases per symbol a text is written in none of the languages.
@@ -43,7 +51,8 @@ PORTION = 2_000_000
 class Model:
     languages: list[str]
     symbols: np.ndarray  # by code point: 0 for what separates words, else a letter's number, the last for any other letter
-    tables: list[np.ndarray]  # by state * width + symbol: 2 * next state's offset + whether a phrase ends here
+    letters: list[np.ndarray]  # by language: a symbol's number among the language's own, 0 for separators, the last for any other
+    tables: list[tuple[np.ndarray, ...]]  # see ``dense_table`` and ``sparse_table``
 
 
 def suffix_automaton(line: list[int]) -> list[dict[int, int]]:
@@ -76,13 +85,32 @@ def suffix_automaton(line: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def flat_table(step: list[dict[int, int]], width: int) -> np.ndarray:
+def dense_table(step: list[dict[int, int]], width: int) -> tuple[np.ndarray]:
+    """By state * width + symbol: 2 * the next state's offset, plus 1 where a phrase begins."""
     start = np.array([2 * step[0].get(c, 0) * width + 1 for c in range(width)], dtype=np.int32)
     table = np.tile(start, (len(step), 1))
     for state, row in enumerate(step[1:], 1):  # from the start, every symbol begins a phrase
         for c, target in row.items():
             table[state, c] = 2 * target * width
-    return table.ravel()
+    return (table.ravel(),)
+
+
+def sparse_table(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``dense_table`` in three arrays: existing transitions' sorted keys and values, and what begins a phrase, by symbol."""
+    start = np.array([2 * step[0].get(c, 0) * width + 1 for c in range(width)], dtype=np.int64)
+    pairs = sorted((state * width + c, 2 * target * width) for state, row in enumerate(step[1:], 1) for c, target in row.items())
+    key, value = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return np.append(key, np.iinfo(np.int64).max), np.append(value, 0), start
+
+
+def follow(table: tuple[np.ndarray, ...], state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """``table``'s value at each state (an offset) and symbol."""
+    if len(table) == 1:
+        return table[0][state + symbol]
+    key, value, start = table
+    wanted = state + symbol
+    at = np.searchsorted(key, wanted)
+    return np.where(key[at] == wanted, value[at], start[symbol])
 
 
 def letters() -> np.ndarray:
@@ -107,38 +135,37 @@ def squeeze(symbols: np.ndarray) -> np.ndarray:
 
 
 def build(samples: dict[str, list[str]], symbols_each: int = SAMPLE_SYMBOLS, symbols_all: int = MODEL_SYMBOLS) -> Model:
+    """Any number of languages and letters: many languages get shorter samples each."""
     lower = letters()
-    each = min(symbols_each, symbols_all // max(1, len(samples)))
-    if len(samples) and each < 500:
-        raise ValueError("too many languages for the bound on the model")
+    each = min(symbols_each, max(1, symbols_all // max(1, len(samples))))
     lines = {lang: squeeze(lower[points("\n".join(texts))])[:each] for lang, texts in samples.items()}
     known = np.unique(np.concatenate([*lines.values(), np.zeros(1, np.uint32)]))
-    if len(known) > 4000:
-        raise ValueError("too many letters for the bound on the model")
-    number = np.full(0x110000, len(known), dtype=np.uint16)
+    number = np.full(0x110000, len(known), dtype=np.uint32)
     number[known] = np.arange(len(known))
-    symbols = np.where(lower == 0, 0, number[lower]).astype(np.uint16)
-    languages = sorted(lines)
-    tables = [flat_table(suffix_automaton(number[lines[x]].tolist()), len(known) + 1) for x in languages]
-    return Model(languages, symbols, tables)
+    symbols = np.where(lower == 0, 0, number[lower]).astype(np.uint32)
+    languages, own, tables = sorted(lines), [], []
+    for lang in languages:
+        line = number[lines[lang]]
+        used = np.union1d(line, [0])
+        letter = np.full(len(known) + 1, len(used), dtype=np.int32)
+        letter[used] = np.arange(len(used))
+        own.append(letter)
+        dense = len(used) < WIDE and len(languages) <= MOST_DENSE
+        tables.append((dense_table if dense else sparse_table)(suffix_automaton(letter[line].tolist()), len(used) + 1))
+    return Model(languages, symbols, own, tables)
 
 
 def train(docs: DataFrame, doc_id: str, text: str, lang: str, docs_each: int = SAMPLE_DOCS) -> Model:
-    """Fits on labelled rows whose fold isn't 0."""
+    """Fits on labelled rows with a text whose fold isn't 0."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = bounded_sample(own.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)), "doc_id", docs_each, ["lang"]).select("lang", "doc_id", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text")).where(F.col("text").isNotNull()).dropDuplicates().collect()
+    labelled = own.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
+    found = bounded_sample(labelled, "doc_id", "text", docs_each, SAMPLE_SYMBOLS, ["lang"], SAMPLE_ROWS, SAMPLE_CHARS).where(F.col("text").isNotNull()).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["text"])):
+    for r in sorted(found, key=lambda r: (r["lang"], zlib.crc32(r["text"].encode()), r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return build(samples)
 
 
-def hash_order(value) -> int:
-    import zlib
-
-    return zlib.crc32(str(value).encode())
-
-
 def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Phrases by text (rows) and language. ``symbols``: all texts' in a row, which begin at ``starts``."""
     sizes = np.diff(np.concatenate((starts, [len(symbols)])))
@@ -151,16 +178,16 @@ def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray
     begin, length, owner = begin[order], length[order], owner[order]
     active = np.searchsorted(-length, -np.arange(LANE), side="left")
     out = np.zeros((len(starts), len(model.tables)), dtype=np.int64)
-    wide = symbols.astype(np.int32)
-    for k, table in enumerate(model.tables):
-        state = np.zeros(len(begin), dtype=np.int32)
+    for k, (letter, table) in enumerate(zip(model.letters, model.tables)):
+        wide = letter[symbols]
+        state = np.zeros(len(begin), dtype=table[0].dtype)
         count = np.zeros(len(begin), dtype=np.int32)
         for t in range(LANE):
             n = active[t]
             if not n:
                 break
-            got = table[state[:n] + wide[begin[:n] + t]]
-            count[:n] += got & 1
+            got = follow(table, state[:n], wide[begin[:n] + t])
+            count[:n] += (got & 1).astype(np.int32)
             state[:n] = got >> 1
         out[:, k] = np.bincount(owner, weights=count, minlength=len(starts))
     return out
@@ -187,13 +214,14 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1: how far the runner-up is behind) and phrases per symbol of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(arrays_of(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in batches:
             lang, score, rate = [], [], []
             for some in portions(batch.column(1).to_pylist(), lambda x: len(x or "") + 1, PORTION):
-                a, b, c = classify(shared.value, some)
+                a, b, c = classify(model, some)
                 lang += a
                 score.append(b)
                 rate.append(c)
@@ -222,14 +250,15 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     The text is judged in one pass with its row, so rows stay whole and nothing is shuffled.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, doc_id, text, lang))
+    shared = docs.sparkSession.sparkContext.broadcast(arrays_of(train(docs, doc_id, text, lang)))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in batches:
             keep = []
             for some in portions(batch.column(place).to_pylist(), lambda x: len(x or "") + 1, PORTION):
-                known, _, rate = classify(model.value, some)
+                known, _, rate = classify(model, some)
                 keep += [k != UNKNOWN and r <= foreign for k, r in zip(known, rate)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

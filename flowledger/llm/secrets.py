@@ -58,8 +58,8 @@ def random_samples(spark: SparkSession, count: int = RANDOM_STRINGS) -> DataFram
 def ordinary_samples(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Words of the sample, alone, joined in pairs by an underscore, as Camel case and in capitals."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    start = F.regexp_replace(F.substring("text", 1, SAMPLE_CHARS), "[0-9a-f]{24,}", " ")
-    words = bounded_sample(own, "doc_id", SAMPLE_DOCS).select(F.regexp_extract_all(start, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    start = F.regexp_replace("text", "[0-9a-f]{24,}", " ")
+    words = bounded_sample(own, "doc_id", "text", SAMPLE_DOCS, SAMPLE_CHARS).select(F.regexp_extract_all(start, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     pair = F.transform(F.slice("w", 2, 400), lambda x, i: F.struct(F.lower(F.get(F.col("w"), i)).alias("a"), F.lower(x).alias("b")))
     many = words.select(F.explode(pair).alias("p"))
     return many.select(F.explode(F.array(F.col("p.a"), F.initcap("p.a"), F.upper("p.a"), F.concat_ws("_", "p.a", "p.b"), F.concat_ws("-", "p.a", "p.b"), F.concat(F.initcap("p.a"), F.initcap("p.b")), F.concat(F.upper("p.a"), F.lit("_"), F.upper("p.b")), F.concat("p.a", "p.b"))).alias("token"))
