@@ -17,8 +17,10 @@ How links are found, without comparing everything with everything:
   survivors are verified bit by bit.
 * Pairs that are connected already are skipped and only a spanning forest
   leaves the task, so a large group of near copies makes few rows.
-* A file of over ``chunk`` rows is cut into chunks, and each pair of chunks is a
-  file of its own.
+* A file of over ``chunk`` rows is filed again by the bits that its rows need not
+  share: six blocks of those, of which two at least agree once more.  A file that
+  is crowded still after ``LEVELS`` such rounds is cut into chunks, and each pair
+  of chunks is a file of its own.
 
 Components come from repeated minimum labels with pointer jumping; every round
 is written to the shared folder.
@@ -32,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +46,7 @@ RADIUS = 4
 PIVOTS = 24
 BLOCKS = 6
 CHUNK = 2048
+LEVELS = 3
 
 
 def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -72,16 +75,17 @@ def fingerprint_of(text: bytes | None, words: int = WORDS, block: int = 1 << 20)
     return int(np.packbits(2 * ones > len(a), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id`` and the signed 64-bit ``fp`` of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, row: Column | None = None) -> DataFrame:
+    """``doc_id``, the signed 64-bit ``fp`` and ``row`` (a long; null unless given) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint_of(x, words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64()), batch.column(2)], names=["doc_id", "fp", "row"])
 
     kind = docs.schema[doc_id].dataType
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.lit(None) if row is None else row).cast("long").alias("row"))
+    return own.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())]))
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -123,22 +127,45 @@ def link_files(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, radius: int)
     return fp[moved], fp[label[moved]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def block_masks(bits: list[int], blocks: int, shared: int) -> list[list[int]]:
+    """Each choice of ``shared`` of ``blocks`` nearly equal runs of ``bits``, as a list of bits."""
+    cut = [bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks] for i in range(blocks)]
+    return [sum(pick, []) for pick in combinations(cut, shared)]
+
+
+def as_long(bits: list[int]) -> int:
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK, levels: int = LEVELS) -> DataFrame:
     """Edges (u, v) that connect exactly what links of ``radius`` or less bits among the distinct ``fp`` connect."""
-    bounds = [64 * i // blocks for i in range(blocks + 1)]
-    spans = [((1 << bounds[i + 1]) - (1 << bounds[i])) for i in range(blocks)]
-    masks = [sum(spans[i] for i in pick) for pick in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    filed = nodes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])).alias("key"))
-    crowded = materialize(filed.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "simhash-crowded")
-    known = crowded.limit(10_001).count()
-    if known:
+    picks = [[]]  # by number: the bits that a file's rows share by design
+    files, crowd = None, nodes.select("fp", F.lit(0).alias("pick"), F.lit(0).cast("long").alias("key"))
+    for level in range(levels):
+        more = [[p + m for m in block_masks([b for b in range(64) if b not in p], blocks, blocks - radius)] for p in picks]
+        wide = len(more[0])
+        masks = F.split(F.lit(",".join(str(as_long(m)) for each in more for m in each)), ",").cast("array<bigint>")
+        numbers = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda t: F.col("pick") * wide + t)
+        keys = F.transform(numbers, lambda n: F.struct(n.cast("int").alias("pick"), F.xxhash64("key", n, F.col("fp").bitwiseAND(F.get(masks, n.cast("int")))).alias("key")))
+        filed = crowd.select("fp", F.explode(keys).alias("k")).select("fp", "k.pick", "k.key")
+        crowded = materialize(filed.groupBy("key").count().where(F.col("count") > chunk), "simhash-crowded")
+        known = crowded.limit(10_001).count()
+        if not known:
+            files = filed.select("fp", "key") if files is None else files.unionByName(filed.select("fp", "key"))
+            break
         side = F.broadcast(crowded) if known <= 10_000 else crowded
-        own = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("parts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        others = F.filter(F.transform(every, lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"))), lambda p: p["a"] != p["b"])
-        split = filed.join(side, "key").select("fp", "key", F.explode(others).alias("p")).select("fp", F.xxhash64("key", "p.a", "p.b").alias("key"))
-        filed = filed.join(side, "key", "left_anti").select("fp", "key").unionByName(split)
+        calm = filed.join(side, "key", "left_anti").select("fp", "key")
+        files = calm if files is None else files.unionByName(calm)
+        crowd = filed.join(side, "key")
+        picks = [m for each in more for m in each]
+        if level + 1 < levels:
+            crowd = materialize(crowd.select("fp", "pick", "key"), "simhash-crowd")
+    else:
+        parts = F.ceil(F.col("count") / chunk).cast("int")
+        own = F.pmod(F.xxhash64("fp", F.lit("chunk")), parts).cast("int")
+        others = F.filter(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"))), lambda p: p["a"] != p["b"])
+        files = files.unionByName(crowd.select("fp", "key", F.explode(others).alias("p")).select("fp", F.xxhash64("key", "p.a", "p.b").alias("key")))
 
     pivots = reference_fingerprints()
 
@@ -164,7 +191,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: i
         if held:
             yield from flush(True)
 
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").where(F.col("u") != F.col("v")).distinct()
+    return files.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").where(F.col("u") != F.col("v")).distinct()
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -182,6 +209,17 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
+def _components(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, first) for each fingerprint and for each component, of the (doc_id, row) that comes first in it; null ids last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = materialize(marked.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    named = connected(links(nodes.select("fp"), radius))
+    heads = materialize(named.join(nodes, named.node == nodes.fp).groupBy("label").agg(F.min("first").alias("head")), "simhash-first")
+    linked = named.join(heads, "label").select(F.col("node").alias("fp"), "head")
+    every = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("head", "first").alias("first"), (F.col("head").isNull() | (F.col("head") == F.col("first"))).alias("leads")), "simhash-named")
+    return every.select("fp", "first"), every.where("leads").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its component).
 
@@ -192,27 +230,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty one; other columns of ``docs`` are ignored.
     """
     marked = materialize(fingerprints(docs, doc_id, text, words), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    named = connected(links(nodes.select("fp"), radius))
-    first = materialize(named.join(nodes, named.node == nodes.fp).groupBy("label").agg(F.min("first_id").alias("linked_id")), "simhash-first")
-    linked = named.join(first, "label").select(F.col("node").alias("fp"), "linked_id")
-    named_nodes = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id")), "simhash-named")
-    return marked.join(named_nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each, _ = _components(marked, radius)
+    return marked.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` but for near duplicates of the smallest doc_id of their component.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates: that of the smallest doc_id, null ids last.
 
-    Rows that repeat that id are one document: one of them stays.  Rows with a
-    null id can't be told apart by name and all stay.
+    Rows are told apart by id and a hash of all columns, so of rows that repeat
+    an id with other texts each is judged by its own text; of rows with the
+    smallest id in one component that with the smallest hash stays, and of rows
+    alike in every column one.  The choice is the same on every run.
     """
-    groups = materialize(near_duplicates(docs, doc_id, text, **how).select("doc_id", "component_id"), "groups")
-    (mark,) = fresh(docs, "_kept_id")
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    # A merge join at every size: ids to keep are as many as documents, so they are never sent around.
-    kept = docs.join(stay.select(F.col("doc_id").alias(mark)).hint("merge"), docs[doc_id] == F.col(mark), "left_semi")
-    again = stay.where(F.col("count") > 1).select(F.col("doc_id").alias(mark))
+    mark, head_id, head_mark = fresh(docs, "_mark", "_head_id", "_head_mark")
+    whole = F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in docs.schema])
+    marked = materialize(fingerprints(docs, doc_id, text, words, whole), "simhash")
+    _, heads = _components(marked, radius)
+    heads = heads.select(F.col("first.doc_id").alias(head_id), F.col("first.row").alias(head_mark))
+    # A merge join at every size: rows to keep are as many as documents, so they are never sent around.
+    own = docs.withColumn(mark, whole)
+    kept = own.join(heads.hint("merge"), own[doc_id].eqNullSafe(F.col(head_id)) & (own[mark] == F.col(head_mark)), "left_semi")
+    again = marked.groupBy("doc_id", "row").count().where(F.col("count") > 1).select(F.col("doc_id").alias(head_id), F.col("row").alias(head_mark))
     if not again.isEmpty():
-        once = kept.join(again, kept[doc_id] == F.col(mark), "left_semi").dropDuplicates([doc_id])
-        kept = kept.join(again, kept[doc_id] == F.col(mark), "left_anti").unionByName(once)
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+        same = kept[doc_id].eqNullSafe(F.col(head_id)) & (kept[mark] == F.col(head_mark))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, mark]))
+    return kept.drop(mark)
