@@ -163,7 +163,7 @@ def test_decontamination_finds_verbatim_fragments(spark):
         line = "".join(map(chr, decontam.plain(t)))
         expected |= {(d, i) for i, x in lines.items() if any(x[a : a + size] in line for a in range(len(x) - size + 1))}
     assert expected <= got and len(expected) > 150 and len(got) < len(rows)
-    short = decontam.scan(decontam.index(items), [lines[2][101 : 101 + 70], lines[2][101 : 101 + 50]])
+    short = decontam.scan(decontam.index([x for _, x in items]), [lines[2][101 : 101 + 70], lines[2][101 : 101 + 50]])
     assert [x[:3] for x in short] == [(0, 2, 0)] and short[0][3] == 0 and short[0][4] == len(decontam.plain(lines[2][101:171]))
 
 
@@ -176,6 +176,29 @@ def test_decontamination_awkward(spark):
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 11
 
 
+def test_decontamination_slices_change_nothing(monkeypatch):
+    """Pairs of common q-grams are taken in slices, by stretches of text and by passages; the matches are the same."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(9)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = ["ab " * 120, text(60), text(90), "abc" * 50]
+    docs = ["ab " * 700, text(300) + items[1][20:180] + text(20), items[2][:130] + "x" + items[2][131:260], text(800), "", "abc" * 400]
+    ix = decontam.index(items)
+    whole = {x[:3] for x in decontam.scan(ix, docs)}
+    monkeypatch.setattr(decontam, "PAIRS", 500)
+    pairs = [len(at) for at, _ in decontam.shared_grams(ix, np.concatenate([np.append(decontam.plain(x), 0) for x in docs]).astype(np.uint32))]
+    assert whole == {x[:3] for x in decontam.scan(ix, docs)} and {(0, 0), (1, 1), (2, 2), (5, 3)} <= {x[:2] for x in whole}
+    assert len(pairs) > 100 and max(pairs) < 500 + 4 * 192 * 96
+
+
+def test_decontamination_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "yes"), (None, "it was the best of times, it was the worst"), ("c", "yes, we said"), ("a", "Yes!")], "doc_id string, text string")
+    bench = spark.createDataFrame([(None, "It was the best of times; it was the worst"), ("q-2", "YES"), ("q-2", "yes"), ("q-3", "")], "item_id string, text string")
+    got = sorted(((r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([("a", "q-2", 0), ("a", "q-2", 0), (None, None, 0)], key=str)
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == ["c"]
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
