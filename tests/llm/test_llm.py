@@ -489,18 +489,40 @@ def test_weights_adapt_over_whole_texts(docs):
     texts = [b"", b"the", b"zq xj " * 400, b" ".join(sample)[:5000], *sample[:8]]
 
     def plain(text):
+        """One choice after another; weights move by the sum of a step's gradients."""
         w, total = [1.0] * len(tables), 0.0
-        for places in zip(*lm.choices(code, [(b"", text, True)])[1]):
-            x = [float(t[i]) for t, i in zip(tables, places)]
-            p = 1 / (1 + np.exp(-max(-30.0, sum(a * b for a, b in zip(x, w)))))
-            total += np.log(p)
-            w = [a + lm.RATE * (1 - p) * b for a, b in zip(w, x)]
+        lengths, found, _ = lm.choices(code, [(b"", text, True)])
+        places = list(zip(*found))
+        lanes = [sum(lengths[i : i + lm.LANE]) for i in range(0, len(lengths), lm.LANE)]
+        at = 0
+        for many in lanes:
+            for i in range(at, at + many, lm.STEP):
+                moved = list(w)
+                for each in places[i : min(i + lm.STEP, at + many)]:
+                    x = [float(t[j]) for t, j in zip(tables, each)]
+                    p = 1 / (1 + np.exp(-max(-30.0, sum(a * b for a, b in zip(x, w)))))
+                    total += np.log(p)
+                    moved = [a + lm.RATE * (1 - p) * b for a, b in zip(moved, x)]
+                w = moved
+            at += many
         return total
 
     got, expected = lm.score_texts(code, tables, texts), np.array([plain(x) for x in texts])
     assert np.allclose(got, expected, rtol=1e-5, atol=1e-3)
-    assert np.allclose([lm.score_long(code, tables, x) for x in texts[1:]], expected[1:], rtol=1e-9)
-    assert np.array_equal(got[2:5], np.concatenate([lm.score_texts(code, tables, [x]) for x in texts[2:5]]))
+    assert np.allclose(got, np.concatenate([lm.score_texts(code, tables, [x]) for x in texts]), rtol=1e-13, atol=0)  # alone or beside others
+
+
+def test_counts_equal_plain_counting(docs):
+    """Choices counted from distinct runs of bytes equal those counted one by one, ends and odd bytes included."""
+    texts = [b"", b"a", b"abcd" * 50, bytes(range(256)) * 2, *(r.text.encode() for r in docs.limit(30).collect())]
+    code = lm.prefix_code(texts[4:10])
+    got = np.zeros((int(lm.table_starts()[-1]), 2), np.int32)
+    lm.count(code, texts[:9], got)
+    lm.count(code, texts[9:], got)
+    expected = np.zeros_like(got)
+    for start, places in zip(lm.table_starts(), lm.choices(code, [p for x in texts for p in lm.pieces(x)])[1]):
+        np.add.at(expected[start:].reshape(-1), places, 1)
+    assert (got == expected).all() and got.sum() > 10_000
 
 
 def test_tables_grow_with_training_text(spark, docs, monkeypatch):
