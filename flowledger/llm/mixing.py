@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialize
+from .spans import bound
 
 LONGEST = 32.0
 MOST_SOURCES = 10_000
@@ -57,12 +58,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     A null source is a source; a null text has size 1; null ids all hash alike,
     as do rows that repeat an id (with the same source they get as many copies).
     An existing column ``copy`` keeps its name and the new one gets an underscore.
+    Which rows come out, and how often, depends on the rows alone; their order
+    also on how the input is split, so that rows alike in all columns spread out.
     An empty table gives an empty one.
     """
     name, rate_source, table, draws, n, order = fresh(docs, "copy", "_rate_source", "_table", "_draws", "_n", "_order")
     rate = rates(docs, source, text, weights, temperature).where(F.col("rate") > 0)
     parts = F.ceil(F.col("rate") / LONGEST).cast("int")
-    plan = rate.select(F.col("source").alias(rate_source), parts.alias(draws), cumulated(F.col("rate") / parts).alias(table))
+    # Written once: both the count and the join read it, and sizes are summed in one pass over the rows.
+    plan = materialize(rate.select(F.col("source").alias(rate_source), parts.alias(draws), cumulated(F.col("rate") / parts).alias(table)), "mixing-plan")
     if plan.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         joined = docs.join(F.broadcast(plan), docs[source].eqNullSafe(F.col(rate_source)))
     else:  # too many sources to send around: each one's rows go to SALTS places
@@ -70,7 +74,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
         spread = plan.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int"))
         joined = salted.join(spread, salted[source].eqNullSafe(F.col(rate_source)) & (F.col(salt) == F.col("_salt_r")))
-    one = lambda i: F.size(F.filter(F.col(table), lambda c: c <= uniform(F.col(doc_id), i, seed)))
+    one = lambda i: bound(uniform(F.col(doc_id), i, seed), lambda u: F.size(F.filter(F.col(table), lambda c: c <= u)))
     counted = joined.withColumn(n, F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda acc, i: acc + one(i))).where(F.col(n) > 0)
     copies = counted.select(*[counted[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(name))
     shuffled = copies.withColumn(order, F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(name), F.monotonically_increasing_id()))

@@ -297,7 +297,8 @@ def test_mixing(spark, docs, sf_dir):
     shares = Counter(r.source for r in mixing.mix(many, {"small": 1.0, "large": 1.0}).collect())
     assert abs(shares["small"] - 2000) < 250 and abs(shares["large"] - 2000) < 250
     odd = mixing.mix(awkward(spark))
-    assert "copy_" in odd.columns and odd.count() >= 0 and mixing.mix(awkward(spark).limit(0)).count() == 0
+    per = Counter((r.doc_id, r.text) for r in odd.collect())
+    assert "copy_" in odd.columns and set(per) <= {(r.doc_id, r.text) for r in awkward(spark).collect()} and per[1, "the cat sat on the mat with the hat"] % 2 == 0 and mixing.mix(awkward(spark).limit(0)).count() == 0
     assert mixing.mix(many, {"nowhere": 1.0}).count() == 0
 
 
@@ -572,4 +573,14 @@ def test_pipeline_stages(spark, sf_dir, docs):
             assert not [d for d, t in after.items() if base_secrets(t)] and all(base_secrets(before[d]) or secrets.scan(at.where(F.col("doc_id") == d)).first().n_markov for d in set(before) - set(after))
         at = spark.createDataFrame(out.collect(), docs.schema)
     mixed = stages["mixing_sources"](spark, at, sf_dir)
-    assert mixed.columns == [*docs.columns, "copy"] and mixed.count() > 0
+    rates = {r.source: r.rate for r in mixing.rates(at, "source", "text").collect()}
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert mixed.columns == [*docs.columns, "copy"]
+    for r in at.collect():  # the inverse of the Poisson distribution at the hashed number
+        u, k, p = int(hashlib.md5(f"mix:1:{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52), 0, np.exp(-rates[r.source])
+        c = p
+        while c <= u:
+            k += 1
+            p *= rates[r.source] / k
+            c += p
+        assert copies[r.doc_id] == k
