@@ -34,8 +34,11 @@ def may_retry(runs: Column, max_retries: int) -> Column:
     return runs <= max_retries
 
 
+DATABASE_ATTEMPTS = 10
+
+
 def database_retry_delay_ms(attempt: Column) -> Column:
-    """Expected delay (jitter is 5 % either way)."""
+    """Expected delay (jitter is 5 % either way) before the next of ``DATABASE_ATTEMPTS`` attempts."""
     return F.least(100 * F.pow(F.lit(2.0), attempt - 1), F.lit(30_000.0))
 
 
@@ -75,6 +78,51 @@ def text_chunks(text: Column, size: int = 500) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def text_graphemes(text: Column, size: int = 500) -> Column:
+    """Pieces of ``size`` characters as a reader counts them (a letter with its marks, an emoji sequence, a line end are one)."""
+    parts = F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
+    count = F.ceil(F.size(parts) / size).cast("int")
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_) / size).cast("int") - 1), lambda i: F.array_join(F.slice(all_, i * size + 1, F.lit(size)), ""))
+    return F.when(count > 0, F.get(F.transform(F.array(parts), cut), 0)).otherwise(F.array().cast("array<string>"))
+
+
+def payload(first: str, second: str) -> Column:
+    """``a::b``; null if either is null."""
+    return F.concat(F.col(first), F.lit("::"), F.col(second))
+
+
+def stable_uuid(name: Column) -> Column:
+    """A version 4 UUID's form from a SHA-256 of ``name``: the same on every run, where a random one is not wanted."""
+    h = F.sha2(name.cast("binary"), 256)
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.substring(F.lit("89ab"), 1 + F.conv(part(17, 1), 16, 10).cast("int") % 4, F.lit(1))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def encoded_payload(value: Column) -> Column:
+    return F.base64(value.cast("binary"))
+
+
+def decoded_payload(value: Column, serialization: Column) -> Column:
+    """The bytes of a stored payload: text of ``portable_json`` as it is, everything else from base 64."""
+    return F.when(serialization == "portable_json", value.cast("binary")).otherwise(F.unbase64(value))
+
+
+def remaining_ms(deadline: Column, now_ms: int) -> Column:
+    """What is left of a durable sleep, whose deadline was fixed when it first ran; never less than nothing."""
+    return F.greatest(deadline - F.lit(now_ms), F.lit(0))
+
+
+def parks(remaining: Column, completed_steps: Column, threshold_ms: int = 60_000, ceiling: int = 500) -> Column:
+    """Whether a wait gives its process up: long enough, and not too many steps to replay."""
+    return (remaining > threshold_ms) & (completed_steps < ceiling)
+
+
+def detection_ms(ttl_ms: Column, interval_ms: Column) -> Column:
+    """The longest that a dead executor goes unnoticed: its lease, then one sweep interval."""
+    return ttl_ms + interval_ms
+
+
 def split_payload(payload: Column) -> Column:
     """The two parts at the first ``::``."""
     return F.split(payload, "::", 2)

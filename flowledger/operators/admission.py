@@ -6,24 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def recent_starts(ws: DataFrame, qs: DataFrame, now_ms: int) -> DataFrame:
-    """By queue: rate-limited starts after now - period (strictly)."""
+QUEUE, PARTITION = ["queue_name"], ["queue_name", "queue_partition_key"]
+
+
+def recent_starts(ws: DataFrame, qs: DataFrame, now_ms: int, keys: list[str] = QUEUE) -> DataFrame:
+    """By queue (or partition): rate-limited starts after now - period (strictly)."""
     own = ws.where(F.col("rate_limited") & ~F.col("status").isin("ENQUEUED", "DELAYED"))
-    return own.join(F.broadcast(qs.where(F.col("rate_limit_max").isNotNull()).select(F.col("name").alias("queue_name"), "rate_limit_period_ms")), "queue_name").where(F.col("started_at_epoch_ms") > F.lit(now_ms) - F.col("rate_limit_period_ms")).groupBy("queue_name").agg(F.count("*").alias("recent"))
+    limits = qs.where(F.col("rate_limit_max").isNotNull()).select(F.col("name").alias("queue_name"), "rate_limit_period_ms")
+    return own.join(limits, "queue_name").where(F.col("started_at_epoch_ms") > F.lit(now_ms) - F.col("rate_limit_period_ms")).groupBy(*keys).agg(F.count("*").alias("recent"))
+
+
+def running_counts(ws: DataFrame, keys: list[str] = QUEUE) -> DataFrame:
+    return ws.where((F.col("status") == "PENDING") & F.col("queue_name").isNotNull()).groupBy(*keys).agg(F.count("*").alias("running"))
+
 
+def partitions(ws: DataFrame, qs: DataFrame) -> DataFrame:
+    """The partitions that are dequeued: those with enqueued rows, of queues that are partitioned (all, where ``qs`` doesn't say)."""
+    own = ws.where((F.col("status") == "ENQUEUED") & F.col("queue_partition_key").isNotNull()).select(*PARTITION).distinct()
+    some = qs.where("partition_queue") if "partition_queue" in qs.columns else qs
+    return own.join(some.select(F.col("name").alias("queue_name")), "queue_name", "left_semi")
 
-def running_counts(ws: DataFrame) -> DataFrame:
-    return ws.where((F.col("status") == "PENDING") & F.col("queue_name").isNotNull()).groupBy("queue_name").agg(F.count("*").alias("running"))
 
+def capacity(ws: DataFrame, qs: DataFrame, local: DataFrame, now_ms: int, per_partition: bool = False) -> DataFrame:
+    """By queue: what may be claimed (null: unbounded) and whether the rate limit blocks.
 
-def capacity(ws: DataFrame, qs: DataFrame, local: DataFrame, now_ms: int) -> DataFrame:
-    """By queue: what may be claimed (null: unbounded) and whether the rate limit blocks. ``local``: queue_name, local_running."""
+    ``local``: queue_name, local_running, and queue_partition_key if by partition.
+    A partition has its queue's limits and its own counts.
+    """
+    keys = PARTITION if per_partition else QUEUE
     q = qs.withColumnRenamed("name", "queue_name")
-    joined = q.join(recent_starts(ws, qs, now_ms), "queue_name", "left").join(running_counts(ws), "queue_name", "left").join(local, "queue_name", "left")
+    if per_partition:
+        q = q.join(partitions(ws, qs), "queue_name")
+    joined = q.join(recent_starts(ws, qs, now_ms, keys), keys, "left").join(running_counts(ws, keys), keys, "left").join(local, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     left = lambda bound, used: F.when(F.col(bound).isNotNull(), F.greatest(F.col(bound) - zero(used), F.lit(0)))
     worker, overall, rate = left("worker_concurrency", "local_running"), left("concurrency", "running"), left("rate_limit_max", "recent")
-    return joined.select("queue_name", F.least(worker, overall).cast("long").alias("slots"), rate.cast("long").alias("rate_left"), (zero("recent") >= F.col("rate_limit_max")).alias("limited"))
+    return joined.select(*keys, F.least(worker, overall).cast("long").alias("slots"), rate.cast("long").alias("rate_left"), (zero("recent") >= F.col("rate_limit_max")).alias("limited"))
 
 
 def version_gate(version: str, latest: str | None) -> Column:
@@ -35,16 +53,22 @@ def version_gate(version: str, latest: str | None) -> Column:
 def dequeue(ws: DataFrame, qs: DataFrame, local: DataFrame, now_ms: int, version: str, latest: str | None, per_partition: bool = False) -> DataFrame:
     """The rows each queue claims: by priority, creation and id up to its slots and rate.
 
-    Per queue (or partition) the rank is found by a window; where a queue's
-    bound is known it is at most its slots, and Spark keeps no more than that of
-    each task's rows (a group limit below the window).
+    Per partition each key is dequeued by itself, with its own counts; rows of no
+    partition are left out.  The greatest bound of all is found first (one row);
+    as a literal it lets Spark keep no more than so many of each task's rows
+    before the shuffle (a group limit below the window).  The exact bound of each
+    queue follows.  Where a queue has no bound there is no such literal.
     """
-    keys = ["queue_name", "queue_partition_key"] if per_partition else ["queue_name"]
-    ready = ws.where((F.col("status") == "ENQUEUED") & version_gate(version, latest))
+    keys = PARTITION if per_partition else QUEUE
+    ready = ws.where((F.col("status") == "ENQUEUED") & version_gate(version, latest) & F.col(keys[-1]).isNotNull())
+    caps = capacity(ws, qs, local, now_ms, per_partition).where(~F.coalesce("limited", F.lit(False)))
+    bounded = caps.select(*keys, F.least("slots", "rate_left").alias("_bound"))
+    most = bounded.agg(F.max(F.coalesce("_bound", F.lit(1 << 62))).alias("m")).first()["m"] or 0
     ranked = ready.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("priority", "created_at", "workflow_uuid")))
-    caps = capacity(ws, qs, local, now_ms)
-    bound = F.coalesce(F.least("slots", "rate_left"), F.lit(1 << 62))
-    return ranked.join(F.broadcast(caps), "queue_name").where(~F.coalesce("limited", F.lit(False)) & (F.col("rank") <= bound)).select("queue_name", "queue_partition_key", "workflow_uuid", F.col("rank").cast("long").alias("rank"))
+    if most < 1 << 31:
+        ranked = ranked.where(F.col("rank") <= int(most))
+    shown = ["queue_name", "queue_partition_key", "workflow_uuid", F.col("rank").cast("long").alias("rank")]
+    return ranked.join(bounded, keys).where(F.col("_bound").isNull() | (F.col("rank") <= F.col("_bound"))).select(*shown)
 
 
 def outcomes(ws: DataFrame, qs: DataFrame, local: DataFrame, now_ms: int, version: str, latest: str | None) -> DataFrame:
@@ -55,6 +79,11 @@ def outcomes(ws: DataFrame, qs: DataFrame, local: DataFrame, now_ms: int, versio
     return capacity(ws, qs, local, now_ms).join(claimed, "queue_name", "left").select("queue_name", n.alias("claimed"), why.alias("blocked"))
 
 
+def throughput(worker_concurrency: Column, polling_ms: Column) -> Column:
+    """The most workflows a second that one engine starts: its concurrency over the polling interval; null without a bound."""
+    return worker_concurrency * 1000 / polling_ms
+
+
 TICK = ["idle", "limited", "claimed", "contention"]
 
 
@@ -64,14 +93,25 @@ def tick_summary(reports: DataFrame) -> DataFrame:
     return reports.groupBy("tick").agg(F.max(rank).alias("r")).select("tick", F.element_at(F.array(*[F.lit(t) for t in TICK]), F.col("r").cast("int")).alias("summary"))
 
 
-def claim(ws: DataFrame, chosen: DataFrame, now_ms: int, version: str, executor: str) -> DataFrame:
-    """The next snapshot in which the chosen rows are pending on ``executor``."""
+def claim(ws: DataFrame, chosen: DataFrame, now_ms: int, version: str, executor: str, qs: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
+    """The next snapshot in which the chosen rows are pending on ``executor``.
+
+    With ``qs`` a row is marked as rate limited if its queue is; with ``registry``
+    (name, version: what this executor can run) it gets the version registered for
+    its name, the least of several, and none if the name is unknown.
+    """
     hit = F.col("_hit").isNotNull()
     marked = ws.join(chosen.select("workflow_uuid", F.lit(1).alias("_hit")), "workflow_uuid", "left")
     change = {
         "status": F.lit("PENDING"), "application_version": F.lit(version), "executor_id": F.lit(executor), "started_at_epoch_ms": F.lit(now_ms).cast("long"),
         "workflow_deadline_epoch_ms": F.coalesce(F.col("workflow_deadline_epoch_ms"), F.lit(now_ms) + F.col("workflow_timeout_ms")), "updated_at": F.lit(now_ms).cast("long"),
     }
+    if qs is not None:
+        marked = marked.join(qs.select(F.col("name").alias("queue_name"), F.col("rate_limit_max").isNotNull().alias("_limited")), "queue_name", "left")
+        change["rate_limited"] = F.coalesce("_limited", F.lit(False))
+    if registry is not None:
+        marked = marked.join(registry.groupBy("name").agg(F.min("version").alias("_version")), "name", "left")
+        change["ex_workflow_version"] = F.col("_version")
     return marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in change.items()}).select(*ws.columns)
 
 

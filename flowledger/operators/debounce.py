@@ -47,3 +47,14 @@ def debounced_constant(calls: DataFrame, period_ms: int) -> DataFrame:
     w = Window.partitionBy("key").orderBy("at_ms", "input")
     starts = calls.withColumn("new", F.coalesce((F.col("at_ms") - F.lag("at_ms").over(w) >= period_ms).cast("int"), F.lit(1)))
     return starts.withColumn("burst", F.sum("new").over(w)).groupBy("key", "burst").agg(F.min("at_ms").alias("first_ms"), (F.max("at_ms") + period_ms).alias("fires_ms"), F.count("*").alias("calls"), F.max_by("input", F.struct("at_ms", "input")).alias("input")).drop("burst")
+
+
+def holder_conflicts(calls: DataFrame, ws: DataFrame) -> DataFrame:
+    """What each of calls(call, name, queue_name, key) meets: fresh, bounced (on a debounced holder of its own name), or duplicate; with the holder.
+
+    A holder that was not debounced, or has another name, refuses the call.
+    """
+    held = ws.where(F.col("queue_name").isNotNull() & F.col("deduplication_id").isNotNull()).select("queue_name", F.col("deduplication_id").alias("key"), F.col("workflow_uuid").alias("holder"), F.col("is_debounced").alias("_debounced"), F.col("name").alias("_name"))
+    both = calls.join(held, ["queue_name", "key"], "left")
+    answer = F.when(F.col("holder").isNull(), "fresh").when(F.col("_debounced") & (F.col("_name") == F.col("name")), "bounced").otherwise("duplicate")
+    return both.select("call", answer.alias("answer"), "holder")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import payload
 from ..schema import CLOSED, NULL_TOPIC
 
 
@@ -66,11 +69,13 @@ def next_offsets(streams: DataFrame) -> DataFrame:
 
 
 def append(streams: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Gap-free offsets for incoming (workflow_uuid, key, seq, value); rows for closed streams are refused."""
+    """Gap-free offsets for incoming (workflow_uuid, key, seq, value); rows for closed streams, and rows after a close mark of the batch, are refused."""
     base = next_offsets(streams)
     open_ = incoming.join(closed_at(streams), ["workflow_uuid", "key"], "left_anti").join(base, ["workflow_uuid", "key"], "left")
     w = Window.partitionBy("workflow_uuid", "key").orderBy("seq")
-    return open_.select("workflow_uuid", "key", (F.coalesce("next_offset", F.lit(0)) + F.row_number().over(w) - 1).cast("long").alias("offset"), "value")
+    before = F.coalesce(F.max(F.col("value") == CLOSED).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    placed = open_.withColumns({"_late": before, "offset": (F.coalesce("next_offset", F.lit(0)) + F.row_number().over(w) - 1).cast("long")})
+    return placed.where(~F.col("_late")).select("workflow_uuid", "key", "offset", "value")
 
 
 def halted_streams(streams: DataFrame, ws: DataFrame) -> DataFrame:
@@ -80,10 +85,32 @@ def halted_streams(streams: DataFrame, ws: DataFrame) -> DataFrame:
 
 
 def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(channel, payload) between two snapshots of workflow_status: status changes, and wake-ups of queues."""
+    """(channel, payload) between two snapshots of workflow_status: ids whose status changed, and ``status::queue`` to wake queues, each once."""
     o = old.select("workflow_uuid", F.col("status").alias("s0"), F.col("queue_name").alias("q0"), F.col("delay_until_epoch_ms").alias("d0"))
     both = new.select("workflow_uuid", "status", "queue_name", "delay_until_epoch_ms").join(o, "workflow_uuid", "left")
     moved = ~F.col("status").eqNullSafe(F.col("s0"))
     state = both.where(moved).select(F.lit("status").alias("channel"), F.col("workflow_uuid").alias("payload"))
     wake = F.col("status").isin("ENQUEUED", "DELAYED") & F.col("queue_name").isNotNull() & (moved | ~F.col("queue_name").eqNullSafe(F.col("q0")) | ~F.col("delay_until_epoch_ms").eqNullSafe(F.col("d0")))
-    return state.unionByName(both.where(wake).select(F.lit("queue").alias("channel"), F.col("queue_name").alias("payload")).distinct())
+    return state.unionByName(both.where(wake).select(F.lit("queue").alias("channel"), payload("status", "queue_name").alias("payload")).distinct())
+
+
+#: By table: the channel, the columns of the payload, the key, and whether changed rows are announced too.
+CHANNELS = {
+    "notifications": ("recv", ("destination_uuid", "topic"), ["message_uuid"], False),
+    "workflow_events": ("event", ("workflow_uuid", "key"), ["workflow_uuid", "key"], True),
+    "streams": ("stream", ("workflow_uuid", "key"), ["workflow_uuid", "key", "offset"], False),
+}
+
+
+def change_feeds(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """(channel, payload) of all tables in both: status, queue, recv (a message), event (set or set again) and stream (a value); each payload once.
+
+    Notifications name a place and never a value, so announcing one twice says nothing more.
+    """
+    parts = [change_feed(old["workflow_status"], new["workflow_status"])] if "workflow_status" in new else []
+    for table, (channel, columns, key, updates) in CHANNELS.items():
+        if table in new:
+            same = [*key, "value"] if updates else key
+            fresh = new[table].join(old[table].select(*same), same, "left_anti")
+            parts.append(fresh.select(F.lit(channel).alias("channel"), payload(*columns).alias("payload")).distinct())
+    return reduce(DataFrame.unionByName, parts)

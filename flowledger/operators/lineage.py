@@ -18,10 +18,12 @@ _own_dir: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in ``spark.checkpoint.dir``; a folder of our own only where there is none."""
+    """Checkpoint in ``spark.checkpoint.dir``; a folder of our own only where there is none and all executors are threads of this process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = context.getConf().get("spark.checkpoint.dir")
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not found and not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="flowledger-"))
         context.setCheckpointDir(found or _own_dir[0])
@@ -29,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def descendants(ws: DataFrame, roots: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
-    """(root, workflow_uuid, depth) of everything below each root; a root isn't below itself, cycles end at what was seen."""
+    """(root, workflow_uuid, depth) of everything below each root, ``most_levels`` down; a root isn't below itself, cycles end at what was seen."""
     edges = ws.where(F.col("parent_workflow_id").isNotNull()).select(F.col("parent_workflow_id").alias("node"), "workflow_uuid")
     frontier = cut(roots.select(F.col("workflow_uuid").alias("root"), F.col("workflow_uuid").alias("node"), F.lit(0).alias("depth")))
     seen = frontier
@@ -58,6 +60,56 @@ def unwind_plan(ws: DataFrame, oo: DataFrame, able: DataFrame) -> DataFrame:
     return unwind_steps(oo).join(state, "descendant", "left").select("workflow_uuid", "function_id", action.alias("action"))
 
 
+#: What must not be called, by module, function, arity (None: any), scope and rule.
+RULES = [
+    *((m, f, None, scope, "spawn") for m in ("Kernel", ":erlang") for f in ("spawn", "spawn_link", "spawn_monitor") for scope in ("workflow", "step")),
+    *(("Task", f, None, "workflow", "task") for f in ("async", "await", "async_stream", "start")),
+    *(("Task", f, None, "step", "task") for f in ("async", "await", "async_stream", "start", "start_link")),
+    (":rand", None, None, "workflow", "rand"),
+    ("DateTime", "utc_now", None, "workflow", "utc_now"),
+    ("NaiveDateTime", "utc_now", None, "workflow", "utc_now"),
+    ("Date", "utc_today", None, "workflow", "utc_today"),
+    *(("System", f, None, "workflow", "system_time") for f in ("system_time", "os_time", "monotonic_time", "unique_integer")),
+    ("Process", "sleep", None, "workflow", "sleep"),
+    ("Kernel", "send", 2, "workflow", "send"),
+    (":erlang", "send", 2, "workflow", "send"),
+    ("Kernel.SpecialForms", "receive", None, "workflow", "receive"),
+    ("Kernel", "make_ref", 0, "workflow", "make_ref"),
+    (":erlang", "make_ref", 0, "workflow", "make_ref"),
+]
+
+
+def match_rules(callees: DataFrame, scope: str, repo: str | None = None) -> DataFrame:
+    """Of callees(module, function, arity) those that ``scope`` must not call: callee (``module.function/arity``) and rule.
+
+    With ``repo``, any call of that module within a workflow breaks the rule ``repo``.
+    """
+    spark = callees.sparkSession
+    more = [(repo, None, None, "workflow", "repo")] if repo else []
+    rules = spark.createDataFrame([r for r in RULES + more if r[3] == scope], "r_module string, r_function string, r_arity int, scope string, rule string")
+    any_or = lambda r, c: F.col(r).isNull() | (F.col(r) == F.col(c))
+    hit = (F.col("module") == F.col("r_module")) & any_or("r_function", "function") & any_or("r_arity", "arity")
+    name = F.concat("module", F.lit("."), "function", F.lit("/"), F.col("arity").cast("string"))
+    return callees.join(F.broadcast(rules), hit).select(name.alias("callee"), "rule").distinct()
+
+
+def reached(entries: DataFrame, calls: DataFrame, stop: DataFrame) -> DataFrame:
+    """Every node that calls(caller, callee) lead to from the entries, which are included, without passing a stop on the way."""
+    edges = calls.select(F.col("caller").alias("node"), "callee")
+    frontier = cut(entries.select(F.col("entry").alias("node")).distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        found = cut(frontier.join(edges, "node").select(F.col("callee").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = seen.unionByName(found)
+        frontier = found.join(stop, "node", "left_anti")
+    return seen
+
+
+def unscannable(modules: DataFrame, reached_modules: DataFrame) -> DataFrame:
+    """Modules(module, file) without debug information that a workflow reaches, one row a module."""
+    return modules.join(reached_modules.select("module").distinct(), "module", "left_semi").groupBy("module").agg(F.min("file").alias("file"))
+
+
 def banned_calls(entries: DataFrame, calls: DataFrame, rules: DataFrame, stop: DataFrame) -> DataFrame:
     """Witness chains from entries to banned callees.
 

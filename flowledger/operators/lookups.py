@@ -53,11 +53,24 @@ def check_executions(asked: DataFrame, ws: DataFrame, oo: DataFrame) -> DataFram
     return asked.join(state, "workflow_uuid", "left").join(recorded, ["workflow_uuid", "function_id"], "left").select("workflow_uuid", "function_id", answer.alias("answer"))
 
 
-def patches(asked: DataFrame, oo: DataFrame) -> DataFrame:
-    """patch: true if the step is unrecorded or of that name; deprecate: true only if of that name."""
+def _same_step(asked: DataFrame, oo: DataFrame) -> DataFrame:
     recorded = oo.select("workflow_uuid", "function_id", F.col("function_name").alias("recorded"))
-    same = F.col("recorded") == F.col("function_name")
-    return asked.join(recorded, ["workflow_uuid", "function_id"], "left").select("workflow_uuid", "function_id", F.coalesce(same, F.lit(True)).alias("patched"), F.coalesce(same, F.lit(False)).alias("deprecated"))
+    return asked.join(recorded, ["workflow_uuid", "function_id"], "left").withColumn("same", F.col("recorded") == F.col("function_name"))
+
+
+def patch(asked: DataFrame, oo: DataFrame) -> DataFrame:
+    """Whether a patch applies: true if the step is unrecorded or of that name."""
+    return _same_step(asked, oo).select("workflow_uuid", "function_id", F.coalesce("same", F.lit(True)).alias("patched"))
+
+
+def deprecate_patch(asked: DataFrame, oo: DataFrame) -> DataFrame:
+    """Whether a patch's marker is there: true only if the step is recorded and of that name."""
+    return _same_step(asked, oo).select("workflow_uuid", "function_id", F.coalesce("same", F.lit(False)).alias("deprecated"))
+
+
+def patches(asked: DataFrame, oo: DataFrame) -> DataFrame:
+    """Both answers in one pass."""
+    return _same_step(asked, oo).select("workflow_uuid", "function_id", F.coalesce("same", F.lit(True)).alias("patched"), F.coalesce("same", F.lit(False)).alias("deprecated"))
 
 
 def cancellations(ws: DataFrame) -> DataFrame:

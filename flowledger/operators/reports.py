@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import COMPENSATOR, INTERNAL_QUEUE, SPAWNING, TERMINAL
@@ -12,6 +12,11 @@ def pending(ws: DataFrame) -> DataFrame:
     return ws.where(F.col("status") == "PENDING")
 
 
+def of_executors(ws: DataFrame, dead: list[str] | DataFrame) -> DataFrame:
+    """Rows of the executors named, in a short list or in a table (executor_id) of any size."""
+    return ws.where(F.col("executor_id").isin(dead)) if isinstance(dead, list) else ws.join(dead, "executor_id", "left_semi")
+
+
 def capabilities(el: DataFrame) -> DataFrame:
     """Distinct (cap_name, cap_version) that executors advertise; leases keep theirs as an array or already one a row."""
     if "ex_capabilities" in el.columns:
@@ -47,9 +52,9 @@ def orphans(ws: DataFrame, el: DataFrame, now_ms: int) -> DataFrame:
     return marked.select("name", "application_version", "ex_workflow_version", "count", "oldest_created_at", "sample_id", reason.alias("reason")).orderBy(F.col("count").desc(), "name", "application_version", "ex_workflow_version")
 
 
-def declined(ws: DataFrame, dead: list[str], caps: DataFrame, handled: DataFrame) -> DataFrame:
+def declined(ws: DataFrame, dead: list[str] | DataFrame, caps: DataFrame, handled: DataFrame) -> DataFrame:
     """Pending work of dead executors that this engine didn't take, by group, with whether it could have and why not."""
-    left = pending(ws).where(F.col("queue_name").isNull() & F.col("executor_id").isin(dead)).join(handled, "workflow_uuid", "left_anti")
+    left = of_executors(pending(ws).where(F.col("queue_name").isNull()), dead).join(handled, "workflow_uuid", "left_anti")
     mark = caps.select(F.col("cap_name").alias("name"), F.col("cap_version").alias("_v"), F.lit(True).alias("_can"))
     marked = left.join(mark, (left["name"] == mark["name"]) & left["ex_workflow_version"].eqNullSafe(mark["_v"]), "left").drop(mark["name"])
     known = caps.select(F.col("cap_name").alias("name"), F.lit(True).alias("_named")).distinct()
@@ -68,18 +73,18 @@ def stale_cancelling(ws: DataFrame, el: DataFrame, now_ms: int) -> DataFrame:
     return ws.where(F.col("status") == "CANCELLING").join(live_executors(el, now_ms), "executor_id", "left_anti").select("workflow_uuid")
 
 
-def reclaimable(ws: DataFrame, dead: list[str], caps: DataFrame, batch: int | None = None) -> DataFrame:
+def reclaimable(ws: DataFrame, dead: list[str] | DataFrame, caps: DataFrame, batch: int | None = None) -> DataFrame:
     """Unqueued pending work of dead executors that these capabilities can run, oldest first."""
-    own = pending(ws).where(F.col("executor_id").isin(dead) & F.col("queue_name").isNull())
+    own = of_executors(pending(ws).where(F.col("queue_name").isNull()), dead)
     able = own.join(caps, can_run(own, caps), "left_semi").select("workflow_uuid", "created_at")
     return able.orderBy("created_at", "workflow_uuid").limit(batch) if batch else able
 
 
-def queued_pending(ws: DataFrame, dead: list[str]) -> DataFrame:
-    return pending(ws).where(F.col("executor_id").isin(dead) & F.col("queue_name").isNotNull()).select("workflow_uuid")
+def queued_pending(ws: DataFrame, dead: list[str] | DataFrame) -> DataFrame:
+    return of_executors(pending(ws).where(F.col("queue_name").isNotNull()), dead).select("workflow_uuid")
 
 
-def recovered(ws: DataFrame, dead: list[str], caps: DataFrame, batch: int | None = None) -> DataFrame:
+def recovered(ws: DataFrame, dead: list[str] | DataFrame, caps: DataFrame, batch: int | None = None) -> DataFrame:
     """Ids one reclaim pass handles: queued work put back, then work reclaimed."""
     return queued_pending(ws, dead).unionByName(reclaimable(ws, dead, caps, batch).select("workflow_uuid"))
 
@@ -174,5 +179,42 @@ def rendered(ws: DataFrame) -> DataFrame:
     return ws.select("workflow_uuid", F.to_json(F.struct(F.col("workflow_uuid").alias("WorkflowUUID"), F.col("status").alias("Status"), F.col("name").alias("WorkflowName"), *[F.col(t).cast("string").alias(t) for t in times])).alias("json"))
 
 
+def shown(value: Column) -> Column:
+    """A text as it is shown: in quotes, with its own quotes, backslashes and line ends escaped."""
+    escaped = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+#: The fields of each rendered document. Times become text, payloads are shown, others stay as they are.
+RENDERED = {
+    "workflow": "workflow_uuid status name authenticated_user assumed_role authenticated_roles executor_id application_version application_id attempts queue_name workflow_timeout_ms deduplication_id priority queue_partition_key created_at updated_at workflow_deadline_epoch_ms started_at_epoch_ms input output error",
+    "step": "function_id function_name child_workflow_id started_at_epoch_ms completed_at_epoch_ms output error",
+    "orphan": "name application_version workflow_version reason count oldest_created_at_epoch_ms example_workflow_id",
+    "queue": "name worker_concurrency global_concurrency rate_limit priority_enabled partition_queue polling_interval_ms",
+}
+TIMES = {"workflow": ["created_at", "updated_at", "workflow_deadline_epoch_ms", "started_at_epoch_ms"], "orphan": ["oldest_created_at_epoch_ms"]}
+SHOWN = {"workflow": ["input", "output", "error"], "step": ["output", "error"]}
+#: Names of the fields in the tables, where they differ.
+FROM = {
+    "workflow": {"attempts": "recovery_attempts", "input": "inputs"}, "queue": {"global_concurrency": "concurrency"},
+    "orphan": {"workflow_version": "ex_workflow_version", "oldest_created_at_epoch_ms": "oldest_created_at", "example_workflow_id": "sample_id"},
+}
+
+
+def document(df: DataFrame, kind: str) -> Column:
+    """The JSON document of a row of ``df``: all fields of its kind, null where the table has no such column."""
+
+    def field(name: str) -> Column:
+        source = FROM.get(kind, {}).get(name, name)
+        if name == "rate_limit":
+            pair = F.struct(F.col("rate_limit_max").alias("limit"), F.col("rate_limit_period_ms").alias("period_ms"))
+            return F.when(F.col("rate_limit_max").isNotNull(), pair).alias(name)
+        value = F.col(source) if source in df.columns else F.lit(None).cast("string")
+        value = value.cast("string") if name in TIMES.get(kind, ()) else shown(value) if name in SHOWN.get(kind, ()) else value
+        return value.alias(name)
+
+    return F.to_json(F.struct(*[field(n) for n in RENDERED[kind].split()]), {"ignoreNullFields": "false"})
+
+
 def internal_queue(ws: DataFrame) -> DataFrame:
     return ws.where(F.col("queue_name") == INTERNAL_QUEUE)

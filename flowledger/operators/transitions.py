@@ -15,7 +15,6 @@ def no(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-
 def changed(ws: DataFrame, hit: Column, change: dict[str, Column], mark: str = "_hit") -> tuple[DataFrame, DataFrame]:
     marked = ws.withColumn(mark, F.coalesce(hit, F.lit(False)))
     after = marked.withColumns({c: F.when(F.col(mark), v).otherwise(F.col(c)) for c, v in change.items() if c in ws.columns})
@@ -78,9 +77,11 @@ def reclaim(ws: DataFrame, chosen: DataFrame, executor: str, now_ms: int) -> tup
     return changed(both, F.coalesce(F.col("_named"), F.lit(False)), {"executor_id": F.lit(executor), "updated_at": F.lit(now_ms).cast("long")})
 
 
-def dead_letter(ws: DataFrame, max_retries: int) -> tuple[DataFrame, DataFrame]:
-    """Pending work with more attempts than max_retries + 1."""
+def dead_letter(ws: DataFrame, max_retries: int, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pending work with more attempts than max_retries + 1; where the snapshot has ``owner_xid``, only that of other owners than ``owner``."""
     over = (F.col("recovery_attempts") > max_retries + 1) & (F.lit(max_retries) > 0) & (F.col("status") == "PENDING")
+    if "owner_xid" in ws.columns:
+        over = over & ~F.col("owner_xid").eqNullSafe(F.lit(owner).cast("string"))
     return changed(ws, over, {"deduplication_id": no("string"), "started_at_epoch_ms": no("long"), "queue_name": no("string"), "status": F.lit("MAX_RECOVERY_ATTEMPTS_EXCEEDED")})
 
 
@@ -169,6 +170,44 @@ def insert_enqueued(ws: DataFrame, asked: DataFrame, now_ms: int) -> DataFrame:
     return both.select("workflow_uuid", answer.alias("answer"), F.when(answer == "DELAYED", F.lit(now_ms) + F.col("delay_ms")).alias("delay_until_epoch_ms"))
 
 
+def insert_rows(ws: DataFrame, asked: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot and the answers (workflow_uuid, answer, delay_until_epoch_ms) of ``insert_enqueued``, in one batch.
+
+    ``asked`` has request (its place in the order of arrival), workflow_uuid (once
+    in a batch), queue_name, deduplication_id, delay_ms and what else new rows
+    take over.  Of new requests with one deduplication id in one queue the first
+    is taken.  A known workflow changes in nothing but ``updated_at``.
+    """
+    told = insert_enqueued(ws, asked, now_ms).withColumnRenamed("answer", "_answer")
+    new = F.col("_answer").isin("ENQUEUED", "DELAYED")
+    both = asked.join(told, "workflow_uuid")
+    alone = F.when(~new | F.col("deduplication_id").isNull() | F.col("queue_name").isNull(), F.col("workflow_uuid"))  # what cannot compete makes no hot key
+    place = F.row_number().over(Window.partitionBy("queue_name", F.when(alone.isNull(), F.col("deduplication_id")), alone).orderBy("request"))
+    answered = both.withColumn("answer", F.when(new & (place > 1), "duplicate").otherwise(F.col("_answer")))
+    answers = answered.select("workflow_uuid", "answer", F.when(F.col("answer") == "DELAYED", F.col("delay_until_epoch_ms")).alias("delay_until_epoch_ms"))
+    at = F.lit(now_ms).cast("long")
+    made = {"status": F.col("answer"), "created_at": at, "updated_at": at, "recovery_attempts": F.lit(0).cast("long")}
+    added = answered.where(F.col("answer").isin("ENQUEUED", "DELAYED")).withColumns({c: v for c, v in made.items() if c in ws.columns})
+    have = set(added.columns)
+    added = added.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in ws.schema])
+    known = answers.where("answer = 'existing'")
+    after, _ = changed(named(ws, known), F.col("_named"), {"updated_at": at})
+    return after.unionByName(added), answers
+
+
+def upsert_rows(ws: DataFrame, incoming: DataFrame, now_ms: int, count_attempt: bool = True) -> DataFrame:
+    """The next snapshot after ``upsert_status``: of known rows attempts, executor and ``updated_at`` change, new ones take over what ``incoming`` has."""
+    decided = upsert_status(ws, incoming, count_attempt).select("workflow_uuid", F.col("status").alias("_status"), F.col("executor_id").alias("_executor"), F.col("recovery_attempts").alias("_attempts"))
+    at = F.lit(now_ms).cast("long")
+    own = named(ws, incoming).join(decided, "workflow_uuid")
+    after, _ = changed(own, F.col("_named"), {"executor_id": F.col("_executor"), "recovery_attempts": F.col("_attempts"), "updated_at": at})
+    fresh = incoming.join(ws.select("workflow_uuid"), "workflow_uuid", "left_anti").join(decided, "workflow_uuid")
+    made = {"status": F.col("_status"), "executor_id": F.col("_executor"), "recovery_attempts": F.col("_attempts"), "created_at": at, "updated_at": at}
+    fresh = fresh.withColumns({c: v for c, v in made.items() if c in ws.columns})
+    have = set(fresh.columns)
+    return after.unionByName(fresh.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in ws.schema]))
+
+
 def upsert_status(ws: DataFrame, incoming: DataFrame, count_attempt: bool = True) -> DataFrame:
     """incoming(workflow_uuid, status, executor_id): new rows start with attempts 0 (queued) or 1; on conflict attempts and executor change unless the incoming one is queued, the status never."""
     queued = F.col("in_status").isin("ENQUEUED", "DELAYED")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cron, scalars
-from ..operators import admission, debounce, eventlog, integrity, lineage, lookups, registration, reports, transitions
+from ..operators import admission, apps, debounce, eventlog, integrity, lineage, lookups, recovery, registration, reports, transitions
 from ..sources.projection import LEASE_NOW, NOW, History, duck_ctes
 from .filters import WorkflowFilter, list_workflows
 
@@ -71,7 +71,7 @@ add("pnt_steps", lambda h: lookups.steps(h.oo, "wf-0000000042"), "SELECT functio
 add("pnt_results", lambda h: lookups.results(h.ws), "SELECT workflow_uuid, CASE status WHEN 'SUCCESS' THEN 'output' WHEN 'ERROR' THEN 'error' WHEN 'CANCELLED' THEN 'cancelled' WHEN 'MAX_RECOVERY_ATTEMPTS_EXCEEDED' THEN 'max_recovery_attempts_exceeded' ELSE 'pending' END AS kind, CASE status WHEN 'SUCCESS' THEN output WHEN 'ERROR' THEN error END AS value FROM ws")
 add("pnt_deduplicated", lambda h: lookups.deduplicated(h.ws, "q1", "d9"), "SELECT workflow_uuid FROM ws WHERE queue_name = 'q1' AND deduplication_id = 'd9'")
 add("pnt_debounce_holders", lambda h: lookups.debounce_holders(h.ws), "SELECT queue_name, deduplication_id, workflow_uuid, is_debounced, name FROM ws WHERE queue_name IS NOT NULL AND deduplication_id IS NOT NULL")
-ASKED = "SELECT workflow_uuid, function_id, CASE WHEN function_id = 3 THEN 'other' ELSE 'charge' END AS function_name FROM (SELECT workflow_uuid, unnest([1, 3, 9])::INT AS function_id FROM ws)"
+ASKED = ASKED_STEPS = "SELECT workflow_uuid, function_id, CASE WHEN function_id = 3 THEN 'other' ELSE 'charge' END AS function_name FROM (SELECT workflow_uuid, unnest([1, 3, 9])::INT AS function_id FROM ws)"
 
 
 def _asked(h: History) -> DataFrame:
@@ -146,8 +146,8 @@ add("str_readable", lambda h: eventlog.readable(h.st), 'SELECT * FROM st WHERE "
 add("str_pages", lambda h: eventlog.pages(h.st, 3), "SELECT workflow_uuid, key, count(*) FILTER (value <> '__dbos_stream_closed__') AS n_values, max(\"offset\") + 1 AS next_offset, bool_or(value = '__dbos_stream_closed__') AS closed FROM (SELECT *, count(*) FILTER (value = '__dbos_stream_closed__') OVER (PARTITION BY workflow_uuid, key ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM st WHERE \"offset\" >= 3) WHERE c = 0 GROUP BY 1, 2")
 add("str_append", lambda h: eventlog.append(h.st, h.ev.select("workflow_uuid", "key", F.col("function_id").alias("seq"), "value")), 'SELECT e.workflow_uuid, e.key, n + row_number() OVER (PARTITION BY e.workflow_uuid, e.key ORDER BY e.function_id) - 1 AS "offset", e.value FROM ev e JOIN (SELECT workflow_uuid, key, max("offset") + 1 AS n, bool_or(value = \'__dbos_stream_closed__\') AS c FROM st GROUP BY 1, 2) s ON e.workflow_uuid = s.workflow_uuid AND e.key = s.key WHERE NOT c')
 add("str_ends", lambda h: eventlog.halted_streams(h.st, h.ws), "SELECT workflow_uuid, key, bool_or(value = '__dbos_stream_closed__') OR bool_or(coalesce(status NOT IN ('PENDING', 'ENQUEUED', 'DELAYED'), false)) AS ends FROM st LEFT JOIN ws USING (workflow_uuid) GROUP BY 1, 2")
-add("str_change_feed", lambda h: eventlog.change_feed(h.ws, transitions.promote_delayed(h.ws, NOW)[0]), f"SELECT 'status' AS channel, workflow_uuid AS payload FROM ws WHERE status = 'DELAYED' AND delay_until_epoch_ms <= {NOW} UNION ALL SELECT DISTINCT 'queue', queue_name FROM ws WHERE status = 'DELAYED' AND delay_until_epoch_ms <= {NOW}")
-add("str_park", lambda h: h.ws.select("workflow_uuid", ((F.col("delay_until_epoch_ms") - NOW > 60_000) & (F.col("recovery_attempts") < 500)).alias("parks")), f"SELECT workflow_uuid, delay_until_epoch_ms - {NOW} > 60000 AND recovery_attempts < 500 AS parks FROM ws")
+add("str_change_feed", lambda h: eventlog.change_feed(h.ws, transitions.promote_delayed(h.ws, NOW)[0]), f"SELECT 'status' AS channel, workflow_uuid AS payload FROM ws WHERE status = 'DELAYED' AND delay_until_epoch_ms <= {NOW} UNION ALL SELECT DISTINCT 'queue', 'ENQUEUED::' || queue_name FROM ws WHERE status = 'DELAYED' AND delay_until_epoch_ms <= {NOW}")
+add("str_park", lambda h: h.ws.select("workflow_uuid", scalars.parks(F.col("delay_until_epoch_ms") - NOW, F.col("recovery_attempts")).alias("parks")), f"SELECT workflow_uuid, delay_until_epoch_ms - {NOW} > 60000 AND recovery_attempts < 500 AS parks FROM ws")
 
 # -- Queue admission
 LOCAL = [("q0", 1), ("q1", 7), ("q2", 2)]
@@ -174,7 +174,28 @@ def _local(h: History) -> DataFrame:
 add("que_recent_starts", lambda h: admission.recent_starts(h.ws, h.qs, NOW), "SELECT * FROM recent", {k: QUEUE[k] for k in ("recent",)})
 add("que_capacity", lambda h: admission.capacity(h.ws, h.qs, _local(h), NOW), "SELECT * FROM cap", QUEUE)
 add("que_dequeue", lambda h: admission.dequeue(h.ws, h.qs, _local(h), NOW, "v1", "v1"), CLAIMED, QUEUE | {"ranked": _ranked("queue_name")})
-add("que_dequeue_partitions", lambda h: admission.dequeue(h.ws, h.qs, _local(h), NOW, "v1", "v1", per_partition=True), CLAIMED, QUEUE | {"ranked": _ranked("queue_name, queue_partition_key")})
+# A dequeue by itself for each partition key, so every count is of that key alone.
+PARTS = {
+    "part": "SELECT DISTINCT queue_name, queue_partition_key FROM ws WHERE status = 'ENQUEUED' AND queue_name IS NOT NULL AND queue_partition_key IS NOT NULL",
+    "plocal": "SELECT queue_name, 'p3' AS queue_partition_key, local_running FROM (VALUES ('q0', 1), ('q1', 7), ('q2', 2)) t(queue_name, local_running)",
+    "pcount": f"SELECT p.queue_name, p.queue_partition_key, (SELECT count(*) FROM ws WHERE ws.queue_name = p.queue_name AND ws.queue_partition_key = p.queue_partition_key AND rate_limited AND status NOT IN ('ENQUEUED', 'DELAYED') AND started_at_epoch_ms > {NOW} - rate_limit_period_ms) AS recent, (SELECT count(*) FROM ws WHERE ws.queue_name = p.queue_name AND ws.queue_partition_key = p.queue_partition_key AND status = 'PENDING') AS running FROM part p JOIN qs ON qs.name = p.queue_name",
+    "pcap": "SELECT c.queue_name, c.queue_partition_key, CASE WHEN worker_concurrency IS NULL THEN CASE WHEN concurrency IS NOT NULL THEN greatest(concurrency - running, 0) END WHEN concurrency IS NULL THEN greatest(worker_concurrency - coalesce(local_running, 0), 0) ELSE least(greatest(worker_concurrency - coalesce(local_running, 0), 0), greatest(concurrency - running, 0)) END AS slots, CASE WHEN rate_limit_max IS NOT NULL THEN greatest(rate_limit_max - recent, 0) END AS rate_left, rate_limit_max IS NOT NULL AND recent >= rate_limit_max AS limited FROM pcount c JOIN qs ON qs.name = c.queue_name LEFT JOIN plocal l ON l.queue_name = c.queue_name AND l.queue_partition_key = c.queue_partition_key",
+}
+
+
+def _plocal(h: History) -> DataFrame:
+    return h.spark.sql(PARTS["plocal"])
+
+
+add("que_dequeue_partitions", lambda h: admission.dequeue(h.ws, h.qs, _plocal(h), NOW, "v1", "v1", per_partition=True), "SELECT queue_name, queue_partition_key, workflow_uuid, row_number() OVER (PARTITION BY queue_name, queue_partition_key ORDER BY priority, created_at, workflow_uuid) AS rank FROM ws JOIN pcap USING (queue_name, queue_partition_key) WHERE status = 'ENQUEUED' AND (application_version = 'v1' OR application_version IS NULL) AND NOT limited QUALIFY rank <= coalesce(least(slots, rate_left), 9223372036854775807)", PARTS)
+add("que_recent_starts_partitions", lambda h: admission.recent_starts(h.ws, h.qs, NOW, admission.PARTITION), f"SELECT queue_name, queue_partition_key, count(*) AS recent FROM ws JOIN qs ON queue_name = qs.name WHERE rate_limited AND status NOT IN ('ENQUEUED', 'DELAYED') AND rate_limit_max IS NOT NULL AND started_at_epoch_ms > {NOW} - rate_limit_period_ms GROUP BY 1, 2")
+add("que_running_partitions", lambda h: admission.running_counts(h.ws, admission.PARTITION), "SELECT queue_name, queue_partition_key, count(*) AS running FROM ws WHERE status = 'PENDING' AND queue_name IS NOT NULL GROUP BY 1, 2")
+add("que_capacity_partitions", lambda h: admission.capacity(h.ws, h.qs, _plocal(h), NOW, per_partition=True).withColumn("limited", F.coalesce("limited", F.lit(False))), "SELECT * FROM pcap", PARTS)
+REGISTRY = "SELECT * FROM (VALUES ('building/1', '7'), ('building/1', '8'), ('machinery/1', '2')) t(name, version)"
+add("que_claim_registered", lambda h: admission.claim(h.ws, admission.dequeue(h.ws, h.qs, _local(h), NOW, "v1", "v1"), NOW, "v1", "me", h.qs, h.spark.sql(REGISTRY)).select("workflow_uuid", "status", "rate_limited", "ex_workflow_version"), f"SELECT workflow_uuid, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, CASE WHEN hit THEN queue_name IN (SELECT name FROM qs WHERE rate_limit_max IS NOT NULL) ELSE rate_limited END AS rate_limited, CASE WHEN hit THEN (SELECT min(version) FROM reg WHERE reg.name = w.name) ELSE ex_workflow_version END AS ex_workflow_version FROM (SELECT *, workflow_uuid IN (SELECT workflow_uuid FROM ({CLAIMED})) AS hit FROM ws) w", QUEUE | {"ranked": _ranked("queue_name"), "reg": REGISTRY})
+TICKS = "select queue_name as tick, case when r then 'limited' when n > 0 then 'claimed' else 'idle' end as outcome from (select queue_name, queue_partition_key, bool_or(rate_limited) as r, count(*) as n from ws where queue_name is not null group by queue_name, queue_partition_key) t"
+add("que_tick_summary", lambda h: admission.tick_summary(_rows(h, TICKS.replace("from ws", "FROM ws"))), "SELECT tick, CASE WHEN bool_or(outcome = 'claimed') THEN 'claimed' WHEN bool_or(outcome = 'limited') THEN 'limited' ELSE 'idle' END AS summary FROM k GROUP BY 1", {"k": TICKS})
+add("que_throughput", lambda h: h.qs.select("name", admission.throughput(F.col("worker_concurrency"), F.lit(50)).alias("most_per_second")), "SELECT name, worker_concurrency * 1000 / 50.0 AS most_per_second FROM qs")
 add("que_outcomes", lambda h: admission.outcomes(h.ws, h.qs, _local(h), NOW, "v1", "v1"), f"SELECT cap.queue_name, coalesce(n, 0) AS claimed, CASE WHEN coalesce(limited, false) THEN 'rate_limited' WHEN slots = 0 THEN 'no_capacity' WHEN coalesce(n, 0) = 0 THEN 'empty' END AS blocked FROM cap LEFT JOIN (SELECT queue_name, count(*) AS n FROM ({CLAIMED}) GROUP BY 1) c ON cap.queue_name = c.queue_name", QUEUE | {"ranked": _ranked("queue_name")})
 add("que_claim", lambda h: admission.claim(h.ws, admission.dequeue(h.ws, h.qs, _local(h), NOW, "v1", "v1"), NOW, "v1", "me").select("workflow_uuid", "status", "application_version", "executor_id", "started_at_epoch_ms", "workflow_deadline_epoch_ms"), f"SELECT workflow_uuid, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, CASE WHEN hit THEN 'v1' ELSE application_version END AS application_version, CASE WHEN hit THEN 'me' ELSE executor_id END AS executor_id, CASE WHEN hit THEN {NOW} ELSE started_at_epoch_ms END AS started_at_epoch_ms, CASE WHEN hit THEN coalesce(workflow_deadline_epoch_ms, {NOW} + workflow_timeout_ms) ELSE workflow_deadline_epoch_ms END AS workflow_deadline_epoch_ms FROM (SELECT *, workflow_uuid IN (SELECT workflow_uuid FROM ({CLAIMED})) AS hit FROM ws)", QUEUE | {"ranked": _ranked("queue_name")})
 add("que_rate_audit", lambda h: admission.rate_audit(h.ws, 86_400_000), "SELECT queue_name, max(n) AS most_starts FROM (SELECT queue_name, count(*) OVER (PARTITION BY queue_name ORDER BY started_at_epoch_ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS n FROM ws WHERE queue_name IS NOT NULL AND started_at_epoch_ms IS NOT NULL) GROUP BY 1")
@@ -274,12 +295,12 @@ add("sca_poll_fold", lambda h: h.ev.groupBy("workflow_uuid").agg(F.count("*").al
 add("sca_digest", lambda h: h.ws.select("workflow_uuid", scalars.short_digest(F.col("inputs")).alias("digest"), F.concat(F.col("workflow_uuid"), F.lit("::"), F.col("queue_name")).alias("payload")), "SELECT workflow_uuid, substr(sha256(inputs), 1, 16) AS digest, workflow_uuid || '::' || queue_name AS payload FROM ws")
 add("sca_split_payload", lambda h: h.ws.select("workflow_uuid", scalars.split_payload(F.concat(F.col("name"), F.lit("::a::b")))[1].alias("tail")), "SELECT workflow_uuid, 'a::b' AS tail FROM ws")
 add("app_chunks", lambda h: h.spark.read.parquet(f"{h.sf_dir}/documents.parquet").select("doc_id", F.posexplode(scalars.text_chunks(F.col("text"))).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.round(scalars.stub_embedding(F.col("chunk"))[0], 9).alias("first")), "SELECT doc_id, i::INT AS chunk_index, md5(substr(text, i * 500 + 1, 500)) AS chunk_md5, round(('0x' || substr(md5(substr(text, i * 500 + 1, 500)), 1, 2))::INT / 255.0, 9) AS first FROM documents, LATERAL (SELECT unnest(range(0, (length(text) + 499) // 500)) AS i)")
-add("app_outbox", lambda h: h.nt.where(~F.col("consumed")).select("message_uuid", F.lit("sent").alias("state")).orderBy("message_uuid"), "SELECT message_uuid, 'sent' AS state FROM nt WHERE NOT consumed")
-add("app_fan_in", lambda h: h.oo.groupBy("workflow_uuid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("function_id", F.coalesce("output", "error").alias("v")))), lambda x: x["v"]), ",").alias("results")), "SELECT workflow_uuid, string_agg(coalesce(output, error), ',' ORDER BY function_id) AS results FROM oo GROUP BY 1")
-add("app_serialized", lambda h: _overlapping(h), "SELECT workflow_uuid, function_id FROM (SELECT *, lag(completed_at_epoch_ms) OVER (PARTITION BY workflow_uuid ORDER BY function_id) AS before FROM oo) WHERE before > started_at_epoch_ms")
-add("app_progress", lambda h: h.ws.join(h.oo.groupBy("workflow_uuid").agg(F.count("output").alias("copied"), F.count("error").alias("skipped"), F.count("*").alias("n")), "workflow_uuid", "left").select("workflow_uuid", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("copied", "skipped")], (F.lit(7) - F.coalesce("n", F.lit(0))).cast("long").alias("remaining")), "SELECT workflow_uuid, coalesce(copied, 0) AS copied, coalesce(skipped, 0) AS skipped, 7 - coalesce(n, 0) AS remaining FROM ws LEFT JOIN (SELECT workflow_uuid, count(output) AS copied, count(error) AS skipped, count(*) AS n FROM oo GROUP BY 1) o USING (workflow_uuid)")
-add("app_inventory", lambda h: _inventory(h), "SELECT workflow_uuid, function_id, function_name, sum(1) OVER (PARTITION BY workflow_uuid, function_name ORDER BY function_id) <= 2 AS accepted FROM oo")
-add("app_stages", lambda h: h.ev.groupBy("workflow_uuid", "key").agg(F.min_by("value", "function_id").alias("value"), F.min("at_ms").alias("at_ms")), "SELECT workflow_uuid, key, min_by(value, function_id) AS value, min(at_ms) AS at_ms FROM ev GROUP BY 1, 2")
+add("app_outbox", lambda h: apps.outbox(h.nt), "SELECT message_uuid, 'sent' AS state FROM nt WHERE NOT consumed")
+add("app_fan_in", lambda h: apps.fan_in(h.oo), "SELECT workflow_uuid, string_agg(coalesce(output, error), ',' ORDER BY function_id) AS results FROM oo GROUP BY 1")
+add("app_serialized", lambda h: apps.overlapping(h.oo), "SELECT workflow_uuid, function_id FROM (SELECT *, lag(completed_at_epoch_ms) OVER (PARTITION BY workflow_uuid ORDER BY function_id) AS before FROM oo) WHERE before > started_at_epoch_ms")
+add("app_progress", lambda h: apps.progress(h.ws, h.oo, 7), "SELECT workflow_uuid, coalesce(copied, 0) AS copied, coalesce(skipped, 0) AS skipped, 7 - coalesce(n, 0) AS remaining FROM ws LEFT JOIN (SELECT workflow_uuid, count(output) AS copied, count(error) AS skipped, count(*) AS n FROM oo GROUP BY 1) o USING (workflow_uuid)")
+add("app_inventory", lambda h: apps.inventory(h.oo, 2), "SELECT workflow_uuid, function_id, function_name, sum(1) OVER (PARTITION BY workflow_uuid, function_name ORDER BY function_id) <= 2 AS accepted FROM oo")
+add("app_stages", lambda h: apps.stages(h.ev), "SELECT workflow_uuid, key, min_by(value, function_id) AS value, min(at_ms) AS at_ms FROM ev GROUP BY 1, 2")
 CALLS = "select workflow_uuid || ':' || key as key, at_ms, cast(7200000 as bigint) as period_ms, value || cast(function_id as string) as input from ev"
 
 
@@ -293,20 +314,6 @@ add("deb_fold", lambda h: debounce.debounced(_calls(h)), BURSTS, {"calls": CALLS
 add("deb_deadline", lambda h: debounce.debounced(_calls(h), 3 * 3_600_000))
 
 
-def _overlapping(h: History) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.lag("completed_at_epoch_ms").over(Window.partitionBy("workflow_uuid").orderBy("function_id"))
-    return h.oo.select("workflow_uuid", "function_id", "started_at_epoch_ms", before.alias("before")).where(F.col("before") > F.col("started_at_epoch_ms")).select("workflow_uuid", "function_id")
-
-
-def _inventory(h: History) -> DataFrame:
-    from pyspark.sql import Window
-
-    taken = F.sum(F.lit(1)).over(Window.partitionBy("workflow_uuid", "function_name").orderBy("function_id"))
-    return h.oo.select("workflow_uuid", "function_id", "function_name", (taken <= 2).alias("accepted"))
-
-
 # -- Registration, requests of SQL clients, upserts
 def _rows(h: History, text: str) -> DataFrame:
     return h.spark.sql(re.sub(r"\bFROM (ws|oo|ev)\b", r"FROM {\1}", text), **{n: getattr(h, n) for n in ("ws", "oo", "ev") if f"FROM {n}" in text})
@@ -355,3 +362,92 @@ CUTS = "SELECT doc_id, i::INT AS chunk_index, substr(t, i * 500 + 1, 500) AS chu
 add("app_ingest", _ingested, "SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5, round(('0x' || substr(md5(chunk), 1, 2))::INT / 255.0, 9) AS first FROM (SELECT doc_id, chunk_index, coalesce(n.chunk, o.chunk) AS chunk FROM o FULL JOIN n USING (doc_id, chunk_index))", {"o": CUTS.format(texts="(SELECT doc_id, text AS t FROM documents)"), "n": CUTS.format(texts="(SELECT doc_id, '.' || substr(text, 1, 700) AS t FROM documents)")})
 add("app_ingest_whole", lambda h: _ingested(h, None), ORACLES["app_ingest"].replace("substr(text, 1, 700)", "text"))
 add("snk_text_lines", lambda h: registration.text_lines(reports.queue_depth(h.ws).select("queue_name", "depth"))[2], "SELECT rtrim(rpad(queue_name, greatest(10, (SELECT max(length(queue_name)) FROM d))::INT, ' ') || '  ' || rpad(cast(depth AS varchar), greatest(5, (SELECT max(length(cast(depth AS varchar))) FROM d))::INT, ' ')) AS line FROM d", {"d": "SELECT queue_name, count(*) AS depth FROM ws WHERE status = 'ENQUEUED' AND queue_name IS NOT NULL GROUP BY queue_name"})
+
+# -- Whole inserts and upserts, recovery, cancelling with children
+NEW_ROWS = "SELECT workflow_uuid AS request, CASE WHEN recovery_attempts = 0 THEN workflow_uuid ELSE 'new-' || workflow_uuid END AS workflow_uuid, name, inputs, priority, queue_name, CASE WHEN recovery_attempts = 2 AND priority = 1 THEN 'fresh' WHEN recovery_attempts = 0 THEN deduplication_id END AS deduplication_id, 1000 * (recovery_attempts - 1) AS delay_ms FROM ws WHERE recovery_attempts < 3"
+INSERTED = f"SELECT *, CASE WHEN request = workflow_uuid THEN 'existing' WHEN deduplication_id IS NOT NULL AND queue_name IS NOT NULL AND row_number() OVER (PARTITION BY queue_name, deduplication_id, request = workflow_uuid ORDER BY request) > 1 THEN 'duplicate' WHEN delay_ms > 0 THEN 'DELAYED' ELSE 'ENQUEUED' END AS answer FROM n"
+ROW = ["workflow_uuid", "status", "name", "inputs", "queue_name", "deduplication_id", "delay_until_epoch_ms", "recovery_attempts", "created_at", "updated_at", "executor_id"]
+add("mut_insert_rows", lambda h: transitions.insert_rows(h.ws, _rows(h, NEW_ROWS), NOW)[0].select(*ROW), f"SELECT workflow_uuid, status, name, inputs, queue_name, deduplication_id, delay_until_epoch_ms, recovery_attempts, created_at, CASE WHEN workflow_uuid IN (SELECT workflow_uuid FROM a WHERE answer = 'existing') THEN {NOW} ELSE updated_at END AS updated_at, executor_id FROM ws UNION ALL SELECT workflow_uuid, answer, name, inputs, queue_name, deduplication_id, CASE WHEN answer = 'DELAYED' THEN {NOW} + delay_ms END, 0, {NOW}, {NOW}, NULL FROM a WHERE answer IN ('ENQUEUED', 'DELAYED')", {"n": NEW_ROWS, "a": INSERTED})
+add("mut_insert_answers", lambda h: transitions.insert_rows(h.ws, _rows(h, NEW_ROWS), NOW)[1], f"SELECT workflow_uuid, answer, CASE WHEN answer = 'DELAYED' THEN {NOW} + delay_ms END AS delay_until_epoch_ms FROM a", {"n": NEW_ROWS, "a": INSERTED})
+UPSERTS = "SELECT CASE WHEN recovery_attempts = 0 THEN 'new-' || workflow_uuid ELSE workflow_uuid END AS workflow_uuid, CASE WHEN status = 'PENDING' THEN 'ENQUEUED' ELSE 'PENDING' END AS status, 'me' AS executor_id, name, inputs FROM ws WHERE recovery_attempts < 3"
+add("mut_upsert_rows", lambda h: transitions.upsert_rows(h.ws, _rows(h, UPSERTS), NOW).select(*ROW), f"SELECT ws.workflow_uuid, ws.status, ws.name, ws.inputs, queue_name, deduplication_id, delay_until_epoch_ms, CASE WHEN u.status = 'PENDING' THEN recovery_attempts + 1 ELSE recovery_attempts END AS recovery_attempts, created_at, CASE WHEN u.status IS NOT NULL THEN {NOW} ELSE updated_at END AS updated_at, CASE WHEN u.status = 'PENDING' THEN u.executor_id ELSE ws.executor_id END AS executor_id FROM ws LEFT JOIN u USING (workflow_uuid) UNION ALL SELECT workflow_uuid, status, name, inputs, NULL, NULL, NULL, CASE WHEN status = 'PENDING' THEN 1 ELSE 0 END, {NOW}, {NOW}, executor_id FROM u WHERE workflow_uuid LIKE 'new-%'", {"u": UPSERTS})
+add("mut_dead_letter_owner", lambda h: transitions.dead_letter(h.ws.withColumn("owner_xid", F.when(F.col("priority") > 2, F.concat(F.lit("x"), F.col("priority").cast("string")))), 2, "x4")[0].select(*NEXT_COLUMNS), _next("status = 'PENDING' AND recovery_attempts > 3 AND priority <> 4", status="'MAX_RECOVERY_ATTEMPTS_EXCEEDED'", queue="NULL", dedup="NULL", started="NULL") + " FROM ws")
+RECLAIMED = f"status = 'PENDING' AND executor_id IN {DEAD_SQL}"
+add("rec_reclaim_pass", lambda h: recovery.reclaim(h.ws, DEAD, _caps(h), "me", NOW).workflows.select("workflow_uuid", "status", "executor_id", "started_at_epoch_ms"), f"SELECT workflow_uuid, CASE WHEN {RECLAIMED} AND queue_name IS NOT NULL THEN 'ENQUEUED' ELSE status END AS status, CASE WHEN {RECLAIMED} AND queue_name IS NULL AND {CAN} THEN 'me' ELSE executor_id END AS executor_id, CASE WHEN {RECLAIMED} AND queue_name IS NOT NULL THEN NULL ELSE started_at_epoch_ms END AS started_at_epoch_ms FROM ws", OWN)
+add("rec_reclaim_handled", lambda h: recovery.reclaim(h.ws, DEAD, _caps(h), "me", NOW, 10).handled, f"SELECT workflow_uuid FROM ws WHERE {RECLAIMED} AND queue_name IS NOT NULL UNION ALL SELECT * FROM (SELECT workflow_uuid FROM ws WHERE {RECLAIMED} AND queue_name IS NULL AND {CAN} ORDER BY created_at, workflow_uuid LIMIT 10)", OWN)
+add("rec_reclaim_declined", lambda h: recovery.reclaim(h.ws, DEAD, _caps(h), "me", NOW).declined, f"SELECT name, application_version, ex_workflow_version, false AS claimable, count(*) AS count, min(created_at) AS oldest_created_at, min(workflow_uuid) AS sample_id, CASE WHEN EXISTS (SELECT 1 FROM caps WHERE cap_name = ws.name) THEN 'version_mismatch' ELSE 'name_not_registered' END AS reason FROM ws WHERE {RECLAIMED} AND queue_name IS NULL AND NOT {CAN} GROUP BY ALL", OWN)
+EXPIRED = f"(executor_id IS NOT NULL AND executor_id NOT IN (SELECT executor_id FROM el WHERE lease_expires_epoch_ms > {LEASE_NOW}))"
+SWEPT = f"status = 'PENDING' AND {EXPIRED}"
+
+
+def _sweep(h: History):
+    return recovery.lease_sweep(h.ws, h.oo, h.el, _caps(h), "me", LEASE_NOW, None)
+
+
+add("rec_lease_sweep", lambda h: _sweep(h)[0].workflows.select("workflow_uuid", "status", "executor_id", "completed_at"), f"SELECT workflow_uuid, CASE WHEN {SWEPT} AND queue_name IS NOT NULL THEN 'ENQUEUED' WHEN status = 'CANCELLING' AND {EXPIRED} THEN 'CANCELLED' ELSE status END AS status, CASE WHEN {SWEPT} AND queue_name IS NULL AND {CAN} THEN 'me' ELSE executor_id END AS executor_id, CASE WHEN status = 'CANCELLING' AND {EXPIRED} THEN {LEASE_NOW} ELSE completed_at END AS completed_at FROM ws", OWN)
+add("rec_lease_sweep_unwinds", lambda h: _sweep(h)[2], f"SELECT workflow_uuid || '-compensate' AS workflow_uuid, 'ENQUEUED' AS status, 'DBOS.compensate' AS name, '_dbos_internal_queue' AS queue_name, workflow_uuid AS parent_workflow_id, {LEASE_NOW} AS created_at FROM ws WHERE status = 'CANCELLING' AND {EXPIRED} AND workflow_uuid IN (SELECT workflow_uuid FROM u)", {"u": UNWIND})
+add("rec_detection", lambda h: h.el.groupBy("executor_id").agg(F.max("lease_expires_epoch_ms").alias("ttl")).select("executor_id", scalars.detection_ms(F.col("ttl"), F.lit(30_000)).cast("long").alias("detected_ms")), "SELECT executor_id, max(lease_expires_epoch_ms) + 30000 AS detected_ms FROM el GROUP BY 1")
+ROOT_SQL = "(" + ", ".join(f"'{r}'" for r in ROOTS) + ")"
+add("gra_cancel_children", lambda h: recovery.cancel_with_children(h.ws, h.oo, h.ws.where(F.col("workflow_uuid").isin(ROOTS)), NOW)[0].select(*NEXT_COLUMNS), CANCEL.replace("{hit}", "workflow_uuid IN (SELECT node FROM r) AND status NOT IN ('SUCCESS', 'ERROR', 'CANCELLED', 'CANCELLING')") + " FROM ws", {"r": f"SELECT workflow_uuid AS node FROM ws WHERE workflow_uuid IN {ROOT_SQL} UNION SELECT ws.workflow_uuid FROM r JOIN ws ON ws.parent_workflow_id = r.node", "u": UNWIND}, recursive=True)
+
+# -- Call graphs
+CALLED = "SELECT * FROM (VALUES ('e1', 'a', 'Kernel', 'f.ex', 1, 1), ('e1', 'b', 'M', 'f.ex', 2, 2), ('a', 't', 'M', 'f.ex', 3, 3), ('b', 'now', 'DateTime', 'f.ex', 4, 4), ('t', 'now', 'DateTime', 'f.ex', 5, 5), ('a', 'now', 'DateTime', 'f.ex', 6, 6), ('e2', 'b', 'M', 'g.ex', 1, 7), ('b', 'c', 'M', 'g.ex', 2, 8), ('c', 'a', 'M', 'g.ex', 3, 9), ('c', 'b', 'M', 'g.ex', 4, 10), ('c', 'nap', 'Process', 'g.ex', 5, 11), ('e2', 'e1', 'M', 'g.ex', 6, 12)) t(caller, callee, module, file, line, ordinal)"
+ENTRIES = "SELECT * FROM (VALUES ('e1'), ('e2')) t(entry)"
+BANNED = "SELECT * FROM (VALUES ('now', 'utc_now'), ('nap', 'sleep')) t(callee, rule)"
+STOPS = "SELECT * FROM (VALUES ('t'), ('e1'), ('e2')) t(node)"
+GRAPH = {"calls": CALLED, "entries": ENTRIES, "banned": BANNED, "stops": STOPS}
+PATHS = "SELECT entry, entry AS node, [entry] AS path, CAST([] AS BIGINT[]) AS rank, NULL::VARCHAR AS file, NULL::INT AS line FROM entries UNION ALL SELECT w.entry, c.callee, list_append(w.path, c.callee), list_append(w.rank, c.ordinal), c.file, c.line FROM w JOIN calls c ON c.caller = w.node WHERE (w.node = w.entry OR w.node NOT IN (SELECT node FROM stops)) AND NOT list_contains(w.path, c.callee)"
+add("gra_banned_calls", lambda h: lineage.banned_calls(*[h.spark.sql(GRAPH[n]) for n in ("entries", "calls", "banned", "stops")]).withColumn("path", F.array_join("path", ">")), "SELECT entry, rule, callee, file, line, path FROM (SELECT entry, rule, node AS callee, file, line, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY entry, rule, node ORDER BY len(path), rank) AS rn FROM w JOIN banned b ON b.callee = w.node) WHERE rn = 1", GRAPH | {"w": PATHS}, recursive=True)
+add("gra_reached", lambda h: lineage.reached(*[h.spark.sql(GRAPH[n]) for n in ("entries", "calls", "stops")]), "SELECT DISTINCT node FROM w", {k: v for k, v in GRAPH.items() if k != "banned"} | {"w": PATHS}, recursive=True)
+MFA = "SELECT * FROM (VALUES ('Kernel', 'send', 2), ('Kernel', 'send', 3), ('Task', 'start_link', 1), ('Task', 'async', 1), (':rand', 'uniform', 0), ('DateTime', 'utc_now', 1), ('Process', 'sleep', 1), ('Process', 'exit', 2), ('My.Repo', 'all', 1), ('Kernel', 'make_ref', 0), ('System', 'os_time', 0), (':erlang', 'spawn', 1)) t(module, function, arity)"
+add("gra_rules_workflow", lambda h: lineage.match_rules(h.spark.sql(MFA), "workflow", "My.Repo"), "SELECT module || '.' || function || '/' || arity AS callee, CASE WHEN module = 'My.Repo' THEN 'repo' WHEN function LIKE 'spawn%' THEN 'spawn' WHEN module = 'Task' THEN 'task' WHEN module = ':rand' THEN 'rand' WHEN module = 'System' THEN 'system_time' ELSE function END AS rule FROM m WHERE (module, function, arity) NOT IN (('Kernel', 'send', 3), ('Task', 'start_link', 1), ('Process', 'exit', 2))", {"m": MFA})
+add("gra_rules_step", lambda h: lineage.match_rules(h.spark.sql(MFA), "step"), "SELECT module || '.' || function || '/' || arity AS callee, CASE WHEN module = 'Task' THEN 'task' ELSE 'spawn' END AS rule FROM m WHERE module = 'Task' OR function LIKE 'spawn%'", {"m": MFA})
+DECLARED = "SELECT * FROM (VALUES ('a', 'why'), ('lost', 'why not')) t(node, reason)"
+add("gra_unused", lambda h: lineage.unused(h.spark.sql(DECLARED), lineage.reached(*[h.spark.sql(GRAPH[n]) for n in ("entries", "calls", "stops")]), "node"), "SELECT 'lost' AS node, 'why not' AS reason")
+OLD_EDGES = "SELECT * FROM (VALUES ('A', 'x'), ('A', 'y'), ('B', 'z'), ('C', 'w')) t(module, callee)"
+TRACED = "SELECT * FROM (VALUES ('A', 'v')) t(module, callee)"
+KNOWN = "SELECT * FROM (VALUES ('A'), ('B')) t(module)"
+add("gra_manifest", lambda h: lineage.merge_manifest(*[h.spark.sql(x) for x in (OLD_EDGES, TRACED, KNOWN)]), "SELECT * FROM o WHERE module NOT IN (SELECT module FROM t2) AND module IN (SELECT module FROM k) UNION ALL SELECT * FROM t2", {"o": OLD_EDGES, "t2": TRACED, "k": KNOWN})
+add("gra_unscannable", lambda h: lineage.unscannable(h.spark.sql("SELECT * FROM (VALUES ('M', 'm2'), ('M', 'm1'), ('N', 'n')) t(module, file)"), h.spark.sql(CALLED)), "SELECT 'M' AS module, 'm1' AS file")
+
+# -- Renders, change feeds, payloads, integrity, debounce conflicts
+_shown = lambda c: f"'\"' || {c} || '\"'"
+add("snk_json_workflows", lambda h: h.ws.select("workflow_uuid", reports.document(h.ws, "workflow").alias("json")), f"SELECT workflow_uuid, json_object('workflow_uuid', workflow_uuid, 'status', status, 'name', name, 'authenticated_user', authenticated_user, 'assumed_role', NULL, 'authenticated_roles', NULL, 'executor_id', executor_id, 'application_version', application_version, 'application_id', NULL, 'attempts', recovery_attempts, 'queue_name', queue_name, 'workflow_timeout_ms', workflow_timeout_ms, 'deduplication_id', deduplication_id, 'priority', priority, 'queue_partition_key', queue_partition_key, 'created_at', created_at::VARCHAR, 'updated_at', updated_at::VARCHAR, 'workflow_deadline_epoch_ms', workflow_deadline_epoch_ms::VARCHAR, 'started_at_epoch_ms', started_at_epoch_ms::VARCHAR, 'input', {_shown('inputs')}, 'output', {_shown('output')}, 'error', {_shown('error')})::VARCHAR AS json FROM ws")
+add("snk_json_steps", lambda h: h.oo.select("workflow_uuid", "function_id", reports.document(h.oo, "step").alias("json")), f"SELECT workflow_uuid, function_id, json_object('function_id', function_id, 'function_name', function_name, 'child_workflow_id', child_workflow_id, 'started_at_epoch_ms', started_at_epoch_ms, 'completed_at_epoch_ms', completed_at_epoch_ms, 'output', {_shown('output')}, 'error', {_shown('error')})::VARCHAR AS json FROM oo")
+
+
+def _rendered(df: DataFrame, kind: str) -> DataFrame:
+    return df.select(reports.document(df, kind).alias("json"))
+
+
+add("snk_json_orphans", lambda h: _rendered(reports.orphans(h.ws, h.el, LEASE_NOW), "orphan"), "SELECT json_object('name', name, 'application_version', application_version, 'workflow_version', ex_workflow_version, 'reason', reason, 'count', count, 'oldest_created_at_epoch_ms', oldest_created_at::VARCHAR, 'example_workflow_id', sample_id)::VARCHAR AS json FROM (" + ORACLES["orphans"] + ")")
+add("snk_json_queues", lambda h: _rendered(h.qs.withColumns({"priority_enabled": F.lit(False), "partition_queue": F.lit(True), "polling_interval_ms": F.lit(1000)}), "queue"), "SELECT json_object('name', name, 'worker_concurrency', worker_concurrency, 'global_concurrency', concurrency, 'rate_limit', CASE WHEN rate_limit_max IS NOT NULL THEN json_object('limit', rate_limit_max, 'period_ms', rate_limit_period_ms) END, 'priority_enabled', false, 'partition_queue', true, 'polling_interval_ms', 1000)::VARCHAR AS json FROM qs")
+
+
+def _feeds(h: History) -> DataFrame:
+    events = eventlog.latest_events(h.ev)
+    old = {"workflow_status": h.ws, "notifications": h.nt.where("created_at_epoch_ms < 2"), "workflow_events": eventlog.latest_events(h.ev.where("function_id < 5")), "streams": h.st.where("offset < 3")}
+    return eventlog.change_feeds(old, {"workflow_status": transitions.promote_delayed(h.ws, NOW)[0], "notifications": h.nt, "workflow_events": events, "streams": h.st})
+
+
+PROMOTED = f"status = 'DELAYED' AND delay_until_epoch_ms <= {NOW}"
+add("str_change_feeds", _feeds, f"SELECT 'status' AS channel, workflow_uuid AS payload FROM ws WHERE {PROMOTED} UNION ALL SELECT DISTINCT 'queue', 'ENQUEUED::' || queue_name FROM ws WHERE {PROMOTED} UNION ALL SELECT DISTINCT 'recv', destination_uuid || '::' || topic FROM nt WHERE created_at_epoch_ms >= 2 UNION ALL SELECT DISTINCT 'event', workflow_uuid || '::' || key FROM (SELECT workflow_uuid, key, max_by(value, function_id) AS v, max_by(value, function_id) FILTER (function_id < 5) AS o FROM ev GROUP BY 1, 2) WHERE v IS DISTINCT FROM o UNION ALL SELECT DISTINCT 'stream', workflow_uuid || '::' || key FROM st WHERE \"offset\" >= 3")
+BATCH = "SELECT workflow_uuid || '-b' AS workflow_uuid, key, function_id AS seq, CASE WHEN function_id % 6 = 4 THEN '__dbos_stream_closed__' ELSE value END AS value FROM ev"
+add("str_append_closing", lambda h: eventlog.append(h.st, _rows(h, BATCH)), "SELECT workflow_uuid, key, row_number() OVER (PARTITION BY workflow_uuid, key ORDER BY seq) - 1 AS \"offset\", value FROM b QUALIFY coalesce(bool_or(value = '__dbos_stream_closed__') OVER (PARTITION BY workflow_uuid, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) = false", {"b": BATCH})
+add("str_remaining", lambda h: h.ws.select("workflow_uuid", scalars.remaining_ms(F.col("workflow_deadline_epoch_ms"), NOW).alias("remaining_ms")), f"SELECT workflow_uuid, CASE WHEN workflow_deadline_epoch_ms IS NULL THEN 0 ELSE greatest(workflow_deadline_epoch_ms - {NOW}, 0) END AS remaining_ms FROM ws")
+add("sca_payload", lambda h: h.ws.select("workflow_uuid", scalars.payload("workflow_uuid", "queue_name").alias("payload"), scalars.stable_uuid(F.col("workflow_uuid")).alias("uuid")), "SELECT workflow_uuid, workflow_uuid || '::' || queue_name AS payload, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-4' || substr(d, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(d, 17, 1))::INT % 4, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS uuid FROM (SELECT workflow_uuid, queue_name, sha256(workflow_uuid) AS d FROM ws)")
+add("sca_base64", lambda h: h.ws.select("workflow_uuid", scalars.encoded_payload(F.col("inputs")).alias("encoded"), scalars.decoded_payload(scalars.encoded_payload(F.col("inputs")), F.lit("erl_etf")).cast("string").alias("decoded"), scalars.decoded_payload(F.col("attributes"), F.lit("portable_json")).cast("string").alias("portable")), "SELECT workflow_uuid, to_base64(encode(inputs)) AS encoded, inputs AS decoded, attributes AS portable FROM ws")
+add("sca_database_delays", lambda h: h.spark.range(1, scalars.DATABASE_ATTEMPTS).select(F.col("id").alias("attempt"), scalars.database_retry_delay_ms(F.col("id")).alias("delay_ms")), "SELECT a AS attempt, least(100 * pow(2, a - 1), 30000)::DOUBLE AS delay_ms FROM (SELECT unnest(range(1, 10)) AS a)")
+add("app_chunks_graphemes", lambda h: h.spark.read.parquet(f"{h.sf_dir}/documents.parquet").select("doc_id", F.posexplode(scalars.text_graphemes(F.col("text"))).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5")), "SELECT doc_id, i::INT AS chunk_index, md5(substring_grapheme(text, i * 500 + 1, 500)) AS chunk_md5 FROM documents, LATERAL (SELECT unnest(range(0, (length_grapheme(text) + 499) // 500)) AS i)")
+add("pnt_patch", lambda h: lookups.patch(_asked(h), h.oo), "SELECT a.workflow_uuid, a.function_id, coalesce(o.function_name = a.function_name, true) AS patched FROM asked a LEFT JOIN oo o USING (workflow_uuid, function_id)", {"asked": ASKED_STEPS})
+add("pnt_deprecate_patch", lambda h: lookups.deprecate_patch(_asked(h), h.oo), "SELECT a.workflow_uuid, a.function_id, coalesce(o.function_name = a.function_name, false) AS deprecated FROM asked a LEFT JOIN oo o USING (workflow_uuid, function_id)", {"asked": ASKED_STEPS})
+add("int_duplicate_dedups", lambda h: integrity.duplicate_dedups(h.ws.withColumn("deduplication_id", F.concat(F.lit("d"), (F.length("name") % 3).cast("string")))), "SELECT queue_name, 'd' || (length(name) % 3) AS deduplication_id, count(*) AS copies FROM ws WHERE queue_name IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+add("int_report", lambda h: integrity.report({"workflow_status": h.ws.where("recovery_attempts > 0"), "operation_outputs": h.oo, "notifications": h.nt, "workflow_events": eventlog.latest_events(h.ev), "workflow_events_history": h.ev, "streams": h.st}), "SELECT 'workflow_status: key' AS rule, (SELECT count(*) FROM (SELECT 1 FROM x GROUP BY workflow_uuid HAVING count(*) > 1)) AS violations UNION ALL SELECT 'operation_outputs: key', (SELECT count(*) FROM (SELECT 1 FROM oo GROUP BY workflow_uuid, function_id HAVING count(*) > 1)) UNION ALL SELECT 'notifications: key', (SELECT count(*) FROM (SELECT 1 FROM nt GROUP BY message_uuid HAVING count(*) > 1)) UNION ALL SELECT 'workflow_events: key', 0 UNION ALL SELECT 'workflow_events_history: key', (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY workflow_uuid, function_id, key HAVING count(*) > 1)) UNION ALL SELECT 'streams: key', (SELECT count(*) FROM (SELECT 1 FROM st GROUP BY workflow_uuid, key, \"offset\" HAVING count(*) > 1)) UNION ALL SELECT 'operation_outputs: parent', (SELECT count(DISTINCT workflow_uuid) FROM oo WHERE workflow_uuid NOT IN (SELECT workflow_uuid FROM x)) UNION ALL SELECT 'notifications: parent', (SELECT count(DISTINCT destination_uuid) FROM nt WHERE destination_uuid NOT IN (SELECT workflow_uuid FROM x)) UNION ALL SELECT 'workflow_events: parent', (SELECT count(DISTINCT workflow_uuid) FROM ev WHERE workflow_uuid NOT IN (SELECT workflow_uuid FROM x)) UNION ALL SELECT 'workflow_events_history: parent', (SELECT count(DISTINCT workflow_uuid) FROM ev WHERE workflow_uuid NOT IN (SELECT workflow_uuid FROM x)) UNION ALL SELECT 'streams: parent', (SELECT count(DISTINCT workflow_uuid) FROM st WHERE workflow_uuid NOT IN (SELECT workflow_uuid FROM x)) UNION ALL SELECT 'workflow_status: deduplication', (SELECT count(*) FROM (SELECT 1 FROM x WHERE queue_name IS NOT NULL AND deduplication_id IS NOT NULL GROUP BY queue_name, deduplication_id HAVING count(*) > 1)) UNION ALL SELECT 'operation_outputs: output or error', (SELECT count(*) FROM oo WHERE (output IS NULL) = (error IS NULL))", {"x": "SELECT * FROM ws WHERE recovery_attempts > 0"})
+BOUNCES = "SELECT workflow_uuid AS call, CASE WHEN recovery_attempts = 1 THEN 'other' ELSE name END AS name, queue_name, CASE WHEN recovery_attempts = 2 THEN 'none' ELSE deduplication_id END AS key FROM ws WHERE deduplication_id IS NOT NULL"
+add("deb_conflicts", lambda h: debounce.holder_conflicts(_rows(h, BOUNCES), h.ws), "SELECT call, CASE WHEN w.workflow_uuid IS NULL THEN 'fresh' WHEN w.is_debounced AND w.name = c.name THEN 'bounced' ELSE 'duplicate' END AS answer, w.workflow_uuid AS holder FROM c LEFT JOIN ws w ON w.queue_name = c.queue_name AND w.deduplication_id = c.key", {"c": BOUNCES})
+NEXT_AFTER = [("0 30 9 * * *", 40_000), ("15 */20 * * * *", 7), ("0 0 12 1 2 ?", 0), ("0 5/7 * * * *", 301)]
+NEXT_WHERE = ["s % 86400 = 34200", "s % 60 = 15 AND (s // 60) % 20 = 0", "s % 86400 = 43200 AND extract(day FROM to_timestamp(s) AT TIME ZONE 'UTC') = 1 AND extract(month FROM to_timestamp(s) AT TIME ZONE 'UTC') = 2", "s % 3600 = 300"]
+add("crn_next_after", lambda h: h.spark.createDataFrame([(t, cron.next_after(cron.parse(t), FROM + 1000 * s)) for t, s in NEXT_AFTER], "cron string, fire_ms long"), " UNION ALL ".join(f"SELECT '{t}' AS cron, min(s) * 1000 AS fire_ms FROM (SELECT unnest(range({FROM // 1000 + s + 1}, {FROM // 1000 + s + 90 * 86400})) AS s) WHERE {w}" for (t, s), w in zip(NEXT_AFTER, NEXT_WHERE)))
+add("crn_due_steps", lambda h: cron.due_between(h.spark, cron.parse("0 7/20,10-40/15 6 * * MON-FRI/2"), FROM, TO), f"SELECT s * 1000 AS fire_ms FROM (SELECT unnest(range({FROM // 1000 + 1}, {TO // 1000 + 1})) AS s) WHERE s % 60 = 0 AND (s // 60) % 60 IN (7, 10, 25, 40) AND (s // 3600) % 24 = 6 AND extract(dow FROM to_timestamp(s) AT TIME ZONE 'UTC') IN (1, 3, 5)")
+DEADLINE = 3 * 3_600_000
+ORACLES["deb_deadline"] = "WITH RECURSIVE " + f"ev AS ({_CTES['ev']}), calls AS ({CALLS}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, input) AS i FROM calls), f AS (SELECT key, i, at_ms AS first_ms, least(at_ms + period_ms, at_ms + {DEADLINE}) AS fires_ms, 1 AS calls, input FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, CASE WHEN o.at_ms >= f.fires_ms THEN o.at_ms ELSE f.first_ms END, least(o.at_ms + o.period_ms, CASE WHEN o.at_ms >= f.fires_ms THEN o.at_ms ELSE f.first_ms END + {DEADLINE}), CASE WHEN o.at_ms >= f.fires_ms THEN 1 ELSE f.calls + 1 END, o.input FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1) SELECT key, first_ms, max_by(fires_ms, i) AS fires_ms, max(calls)::BIGINT AS calls, max_by(input, i) AS input FROM f GROUP BY key, first_ms"

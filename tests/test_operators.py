@@ -231,3 +231,113 @@ def test_mailbox_queries_give_whole_texts(spark, sf_dir):
     for name in ("win_mailbox_heads_whole", "str_consume_whole"):
         got = queries.QUERIES[name](spark, sf_dir).collect()
         assert got and all(r.message == own[r.message_uuid] for r in got)
+
+
+def _queue_rows(spark, *rows):
+    df = ws(spark, *rows).withColumns({"application_version": F.lit(None).cast("string"), "priority": F.lit(0), "rate_limited": F.lit(False)})
+    keys = spark.createDataFrame([(r["workflow_uuid"], r.get("queue_partition_key")) for r in rows], "workflow_uuid string, queue_partition_key string")
+    return df.join(keys, "workflow_uuid")
+
+
+def test_partitions_have_their_own_counts(spark):
+    """Two partitions of a queue with a global limit of two: what runs in one takes nothing from the other; rows of no partition stay."""
+    rows = [{"workflow_uuid": f"{p}{i}", "status": "ENQUEUED", "queue_name": "q", "created_at": i, "queue_partition_key": p} for p in "ab" for i in range(3)]
+    rows += [{"workflow_uuid": "run", "queue_name": "q", "queue_partition_key": "a", "executor_id": "e"}, {"workflow_uuid": "none", "status": "ENQUEUED", "queue_name": "q"}, {"workflow_uuid": "other", "status": "ENQUEUED", "queue_name": "r", "queue_partition_key": "a"}]
+    df = _queue_rows(spark, *rows)
+    qs = spark.createDataFrame([("q", 2, None, None, None, True), ("r", None, 5, None, None, False)], "name string, concurrency int, worker_concurrency int, rate_limit_max int, rate_limit_period_ms long, partition_queue boolean")
+    local = spark.createDataFrame([], "queue_name string, queue_partition_key string, local_running int")
+    got = admission.dequeue(df, qs, local, 0, "v", "v", per_partition=True)
+    assert ids(got) == ["a0", "b0", "b1"]
+    whole = admission.dequeue(df, qs, local.drop("queue_partition_key"), 0, "v", "v")
+    assert ids(whole) == ["a0", "other"]
+
+
+def test_dequeue_limits_groups_before_the_shuffle(spark):
+    df = _queue_rows(spark, *({"workflow_uuid": f"w{i}", "status": "ENQUEUED", "queue_name": "q", "created_at": i} for i in range(9)))
+    qs = spark.createDataFrame([("q", 3, 2, None, None)], "name string, concurrency int, worker_concurrency int, rate_limit_max int, rate_limit_period_ms long")
+    got = admission.dequeue(df, qs, spark.createDataFrame([], "queue_name string, local_running int"), 0, "v", "v")
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString() and ids(got) == ["w0", "w1"]
+
+
+def test_queue_config_rules_name_what_is_wrong():
+    for bad, said in (({"name": ""}, "name"), ({"name": "q", "concurrency": 0}, "concurrency"), ({"name": "q", "worker_concurrency": 0}, "worker_concurrency"), ({"name": "q", "concurrency": 1, "worker_concurrency": 2}, "not be more"), ({"name": "q", "rate_limit": (1, 0)}, "rate_limit"), ({"name": "q", "polling_interval_ms": 0}, "polling_interval_ms")):
+        with pytest.raises(ValueError, match=said):
+            admission.QueueConfig(**bad)
+    with pytest.raises(ValueError, match="unknown option: nonsense"):
+        admission.check_dispatch({"nonsense": 1})
+    assert admission.check_dispatch({"queue": "q", "delay_ms": 5}) == {"queue": "q", "delay_ms": 5}
+
+
+def test_append_stops_at_a_close_mark_of_the_batch(spark):
+    st = spark.createDataFrame([("w", "k", 0, "a")], "workflow_uuid string, key string, offset int, value string")
+    more = spark.createDataFrame([("w", "k", 1, "b"), ("w", "k", 2, schema.CLOSED), ("w", "k", 3, "late")], "workflow_uuid string, key string, seq int, value string")
+    assert sorted(tuple(r)[2:] for r in eventlog.append(st, more).collect()) == [(1, "b"), (2, schema.CLOSED)]
+
+
+def test_reclaim_with_a_full_batch_reports_nothing_declined(spark):
+    from flowledger.operators import recovery
+
+    df = ws(spark, *({"workflow_uuid": f"w{i}", "executor_id": "dead", "created_at": i} for i in range(3)), {"workflow_uuid": "q", "executor_id": "dead", "queue_name": "q"}, {"workflow_uuid": "far", "executor_id": "dead", "name": "far"}).withColumn("application_version", F.lit("v"))
+    caps = spark.createDataFrame([("n", None)], "cap_name string, cap_version string")
+    some = recovery.reclaim(df, ["dead"], caps, "me", 9, 2)
+    assert some.outcome == "batch_exhausted" and some.declined is None and ids(some.handled) == ["q", "w0", "w1"]
+    table = spark.createDataFrame([("dead",)], "executor_id string")
+    every = recovery.reclaim(df, table, caps, "me", 9)
+    assert every.outcome == "drained" and [(r.name, r.reason) for r in every.declined.collect()] == [("far", "name_not_registered")]
+    assert {r.workflow_uuid: (r.status, r.executor_id) for r in every.workflows.collect()} == {"w0": ("PENDING", "me"), "w1": ("PENDING", "me"), "w2": ("PENDING", "me"), "q": ("ENQUEUED", "dead"), "far": ("PENDING", "dead")}
+
+
+def test_jdbc_reads_are_dealt_out():
+    from flowledger.sources import tables
+
+    got = tables.jdbc_options("jdbc:x", "workflow_status", "dbos", (0, 1000), 8, user="u")
+    assert (got["partitionColumn"], got["lowerBound"], got["upperBound"], got["numPartitions"], got["user"]) == ("created_at", "0", "1000", "8", "u") and "query" not in got and got["dbtable"].startswith("(SELECT ")
+    assert "partitionColumn" not in tables.jdbc_options("jdbc:x", "streams", "dbos")
+    for table, bounds in (("streams", (0, 1)), ("workflow_status", (5, 5))):
+        with pytest.raises(ValueError):
+            tables.jdbc_options("jdbc:x", table, "dbos", bounds)
+
+
+def test_snapshots_are_ranged_by_key(spark, tmp_path):
+    from flowledger.sources import tables
+
+    df = spark.createDataFrame([(f"w{i:03d}", "k", str(i), None) for i in range(200)], schema.TABLES["workflow_events"]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one file
+    try:
+        tables.write_snapshot(df, str(tmp_path), "workflow_events")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "workflow_events")).withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("workflow_uuid").alias("a"), F.max("workflow_uuid").alias("b")).collect()
+    ends = sorted((r.a, r.b) for r in files)
+    assert len(ends) > 1 and all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+
+
+def test_receive_times_out(spark, tmp_path):
+    """A wait ends once the watermark passes its deadline, and a message after that waits for the next one."""
+    from flowledger.streaming import streams
+
+    fields = "destination string, topic string, kind string, at long, deadline_ms long, message string"
+    parts = [[("d", "t", "wait", 1_000, 5_000, None), ("e", "t", "wait", 1_000, 50_000, None)], [("z", "t", "message", 20_000, None, "clock")], [("d", "t", "message", 21_000, None, "late"), ("e", "t", "message", 22_000, None, "in time")], [("d", "t", "wait", 23_000, 90_000, None)]]
+    for rows in parts:
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = streams.log_source(spark, str(tmp_path / "in"), spark.createDataFrame([], fields).schema).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", "1 second")
+        out = streams.to_table(streams.receive(live), str(tmp_path / "out"), str(tmp_path / "cp"))
+        out.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("destination", "outcome", "message").collect())
+    assert got == [("d", "message", "late"), ("d", "timeout", None), ("e", "message", "in time")]
+
+
+def test_streamed_notifications_equal_batch(spark, tmp_path):
+    from flowledger.streaming import streams
+
+    st = spark.createDataFrame([("w", "k", i, "v") for i in range(6)], "workflow_uuid string, key string, offset int, value string")
+    st.write.parquet(str(tmp_path / "in"))
+    streams.to_table(streams.notifications(streams.log_source(spark, str(tmp_path / "in"), st.schema), "streams"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    batch = eventlog.change_feeds({"streams": st.limit(0)}, {"streams": st})
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).distinct().collect()] == [tuple(r) for r in batch.collect()] == [("stream", "w::k")]
+
+
+def test_shown_texts_are_escaped(spark):
+    df = spark.createDataFrame([('a"b\\c\nd',)], "output string")
+    assert df.select(reports.shown(F.col("output"))).first()[0] == '"a\\"b\\\\c\\nd"'
+    assert spark.range(1).select(scalars.text_graphemes(F.lit("e\u0301\r\n👨‍👩‍👧ab"), 2)).first()[0] == ["e\u0301\r\n", "👨‍👩‍👧a", "b"]
