@@ -31,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    ``replaces``: a table of an earlier call that nothing needs any more; it is
+    deleted once the new one is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if replaces is not None:
+        for old in {f.rsplit("/", 1)[0] for f in replaces.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return spark.read.schema(df.schema).parquet(path)
 
 

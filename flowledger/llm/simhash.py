@@ -198,11 +198,13 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for each end of ``edges``: equal labels just for connected nodes, the smallest node of each component."""
     both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    before = labels  # the table of the last round, whatever is selected from it
     for _ in range(most_rounds):
         heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("heard"))
         lower = labels.join(heard, labels.node == heard.u).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("mid"))
         target = labels.select(F.col("node").alias("mid"), F.col("label").alias("next"))
-        labels = materialize(lower.join(target, "mid").select("node", "was", F.least("mid", "next").alias("label")), "labels")
+        labels = materialize(lower.join(target, "mid").select("node", "was", F.least("mid", "next").alias("label")), "labels", before)
+        before = labels
         if labels.where(F.col("was") != F.col("label")).isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
