@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..schema import SPAWNING
 
 MOST_LEVELS = 1000
+COMPACTED = 8
 _own_dir: list[str] = []
 
 
@@ -41,6 +42,8 @@ def descendants(ws: DataFrame, roots: DataFrame, most_levels: int = MOST_LEVELS)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % COMPACTED == 0:  # else every level reads a union of all before
+            seen = cut(seen)
     return seen.where("depth > 0").select("root", F.col("node").alias("workflow_uuid"), "depth")
 
 
