@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,46 +167,42 @@ class Trees:
         return total
 
 
-def best_split(rows: list[int], x: list[list[float]], g: list[float], h: list[float]) -> tuple:
-    """The (gain, feature, limit, left value, right value) of a regression stump on gradients."""
-    value = lambda a, b: STEP * a / (b + 1.0)
-    all_g, all_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
+def best_split(rows: np.ndarray, level: list[np.ndarray], values: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> tuple:
+    """The (gain, feature, limit, left value, right value) of a regression stump on the gradients of ``rows``; ``level``: by feature, each row's place in ``values``."""
+    value = lambda a, b: float(STEP * a / (b + 1.0))
+    g, h = g[rows], h[rows]
+    all_g, all_h = g.sum(), h.sum()
     best = (0.0, 0, math.inf, value(all_g, all_h), value(all_g, all_h))
-    for f in range(len(FEATURES)):
-        sums: dict[float, list[float]] = {}
-        for i in rows:
-            s = sums.setdefault(x[i][f], [0.0, 0.0])
-            s[0] += g[i]
-            s[1] += h[i]
-        left_g = left_h = 0.0
-        for v in sorted(sums)[:-1]:
-            left_g += sums[v][0]
-            left_h += sums[v][1]
-            gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
-            if gain > best[0] + 1e-9:
-                best = (gain, f, v, value(left_g, left_h), value(all_g - left_g, all_h - left_h))
+    for f, (places, known) in enumerate(zip(level, values)):
+        own = places[rows]
+        left_g, left_h = (np.cumsum(np.bincount(own, weights=w, minlength=len(known)))[:-1] for w in (g, h))
+        gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
+        if len(gain) and gain.max() > best[0] + 1e-9:
+            i = int(gain.argmax())
+            best = (float(gain[i]), f, float(known[i]), value(left_g[i], left_h[i]), value(all_g - left_g[i], all_h - left_h[i]))
     return best
 
 
 def fit(x: list[list[float]], y: list[int]) -> Trees:
     """Boosting on the logistic loss; a quarter of the rows is held out and sets each kind's threshold."""
-    out = [(i * 2654435761 >> 16) % 4 == 0 for i in range(len(x))]
-    train, held = [i for i, o in enumerate(out) if not o], [i for i, o in enumerate(out) if o]
-    rate = (sum(y[i] for i in train) + 1) / (len(train) + 2)
+    table, y = np.array(x, dtype=np.float64).reshape(-1, len(FEATURES)), np.array(y, dtype=np.float64)
+    values, level = zip(*[np.unique(table[:, f], return_inverse=True) for f in range(len(FEATURES))])
+    out = (np.arange(len(y)) * 2654435761 >> 16) % 4 == 0
+    train, held = np.flatnonzero(~out), np.flatnonzero(out)
+    rate = (y[train].sum() + 1) / (len(train) + 2)
     model = Trees(math.log(rate / (1 - rate)))
-    score = [model.base] * len(x)
+    score = np.full(len(y), model.base)
     for _ in range(TREES):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        g, h = [a - b for a, b in zip(y, p)], [b * (1 - b) for b in p]
-        _, f, limit, _, _ = best_split(train, x, g, h)
-        sides = [[i for i in train if (x[i][f] <= limit) == left] for left in (True, False)]
-        tree = (f, limit, *(best_split(s, x, g, h)[1:] for s in sides))
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+        _, f, limit, _, _ = best_split(train, level, values, g, h)
+        left = table[:, f] <= limit
+        tree = (f, limit, *(best_split(train[side[train]], level, values, g, h)[1:] for side in (left, ~left)))
         model.trees.append(tree)
-        for i in range(len(x)):
-            n = tree[2] if x[i][f] <= limit else tree[3]
-            score[i] += n[2] if x[i][n[0]] <= n[1] else n[3]
+        for side, n in ((left, tree[2]), (~left, tree[3])):
+            score[side] += np.where(table[side, n[0]] <= n[1], n[2], n[3])
     for kind in range(FIXED, len(KINDS)):
-        own = sorted((score[i], y[i]) for i in held if x[i][0] == kind)
+        own = sorted((float(score[i]), float(y[i])) for i in held if table[i, 0] == kind)
         model.limits[kind] = 1e9
         for at in range(len(own)):  # the lowest threshold of enough precision
             rest = own[at:]
