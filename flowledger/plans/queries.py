@@ -137,9 +137,6 @@ add("win_latest_before", lambda h: eventlog.latest_before(h.ev, 40), "SELECT wor
 add("win_step_ids", lambda h: eventlog.step_ids(h.ev.select("workflow_uuid", "key", "at_ms", F.col("function_id").alias("seq")), ["at_ms", "seq"]), "SELECT workflow_uuid, key, at_ms, function_id AS seq, row_number() OVER (PARTITION BY workflow_uuid ORDER BY at_ms, function_id) - 1 AS function_id FROM ev")
 add("win_mailbox_heads", lambda h: eventlog.mailbox_heads(h.nt), "SELECT destination_uuid, topic, message_uuid, message FROM nt WHERE NOT consumed QUALIFY row_number() OVER (PARTITION BY destination_uuid, topic ORDER BY created_at_epoch_ms, message_uuid) = 1")
 add("str_consume", lambda h: eventlog.consume(h.nt), "SELECT destination_uuid, topic, message, created_at_epoch_ms, message_uuid, consumed OR (NOT consumed AND row_number() OVER (PARTITION BY destination_uuid, topic, consumed ORDER BY created_at_epoch_ms, message_uuid) = 1) AS consumed FROM nt")
-# Whole texts; ``nt`` has the first 12 characters of each.
-add("win_mailbox_heads_whole", lambda h: eventlog.mailbox_heads(h.nw), "SELECT destination_uuid, topic, message_uuid, message FROM nw WHERE NOT consumed QUALIFY row_number() OVER (PARTITION BY destination_uuid, topic ORDER BY created_at_epoch_ms, message_uuid) = 1")
-add("str_consume_whole", lambda h: eventlog.consume(h.nw), "SELECT destination_uuid, topic, message, created_at_epoch_ms, message_uuid, consumed OR (NOT consumed AND row_number() OVER (PARTITION BY destination_uuid, topic, consumed ORDER BY created_at_epoch_ms, message_uuid) = 1) AS consumed FROM nw")
 add("str_waiting", lambda h: eventlog.waiting(h.ws, h.nt), "SELECT workflow_uuid FROM ws WHERE workflow_uuid IN (SELECT destination_uuid FROM nt WHERE NOT consumed)")
 add("str_send", lambda h: eventlog.send(h.nt.where(F.col("created_at_epoch_ms") < 2), h.nt.withColumn("topic", F.when(F.col("topic") != "user", F.col("topic"))), h.ws).select("destination_uuid", "topic", "message_uuid"), "SELECT destination_uuid, CASE WHEN topic = 'user' THEN '__null__topic__' ELSE topic END AS topic, message_uuid FROM nt WHERE created_at_epoch_ms >= 2 AND destination_uuid IN (SELECT workflow_uuid FROM ws)")
 add("str_readable", lambda h: eventlog.readable(h.st), 'SELECT * FROM st WHERE "offset" < coalesce((SELECT min(s."offset") FROM st s WHERE s.value = \'__dbos_stream_closed__\' AND s.workflow_uuid = st.workflow_uuid AND s.key = st.key), 999999)')

@@ -83,7 +83,7 @@ STREAMS = {
     "value": "case when event_id % 97 = 5 then '__dbos_stream_closed__' else props end",
 }
 MAIL = {
-    "destination_uuid": _wf("conv_id"), "topic": "case when role = 'system' then '__null__topic__' else role end", "message": "substr(text, 1, 12)",
+    "destination_uuid": _wf("conv_id"), "topic": "case when role = 'system' then '__null__topic__' else role end", "message": "text",
     "created_at_epoch_ms": "turn", "message_uuid": "'m-' || cast(conv_id as string) || '-' || cast(turn as string)", "consumed": "turn % 3 = 0",
 }
 #: name, concurrency, worker_concurrency, rate_limit_max, rate_limit_period_ms
@@ -104,7 +104,7 @@ def _values(rows: list[tuple], names: str) -> str:
 SOURCES = {
     "ws": (WS, "orders join customer on o_custkey = c_custkey"), "oo": (OO, OO_FROM), "el": (LEASES, "supplier where s_suppkey < 12"),
     "ev": (EVENTS, "events"), "st": (STREAMS, "events"), "nt": (MAIL, "conversations"),
-    "sf": (STREAMS | {"function_id": EVENTS["function_id"]}, "events"), "nw": (MAIL | {"message": "text"}, "conversations"),
+    "sf": (STREAMS | {"function_id": EVENTS["function_id"]}, "events"),
 }
 NAMED = {"qs": _values(QUEUES, "name, concurrency, worker_concurrency, rate_limit_max, rate_limit_period_ms"), "vs": _values(VERSIONS, "version_name, version_timestamp")}
 
@@ -134,7 +134,6 @@ class History:
     ev = cached_property(lambda self: self._build("ev"))
     st = cached_property(lambda self: self._build("st"))
     nt = cached_property(lambda self: self._build("nt"))
-    nw = cached_property(lambda self: self._build("nw"))
     sf = cached_property(lambda self: self._build("sf"))
     qs = cached_property(lambda self: self.spark.sql(NAMED["qs"]))
     vs = cached_property(lambda self: self.spark.sql(NAMED["vs"]))

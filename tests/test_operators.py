@@ -228,7 +228,7 @@ def test_fork_copies_all(spark):
 
 def test_mailbox_queries_give_whole_texts(spark, sf_dir):
     own = {(f"m-{r.conv_id}-{r.turn}"): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
-    for name in ("win_mailbox_heads_whole", "str_consume_whole"):
+    for name in ("win_mailbox_heads", "str_consume"):
         got = queries.QUERIES[name](spark, sf_dir).collect()
         assert got and all(r.message == own[r.message_uuid] for r in got)
 
