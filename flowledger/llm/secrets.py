@@ -3,8 +3,8 @@
 Two first-order character models, one of random strings and one of ordinary
 identifiers, are trained from labelled samples: random strings made by rule from
 SHA-256 digests (hexadecimal, base 64, letters and digits), and identifiers from
-words of a bounded sample of the corpus (alone and joined by underscores or
-capitals).  A run of ``SHORTEST`` or more identifier characters whose
+words of a bounded sample of the corpus (alone, joined by underscores or
+capitals, numbered, as paths), with numbers, dates and rulers made by rule.  A run of ``SHORTEST`` or more identifier characters whose
 log-likelihood ratio is above ``THRESHOLD`` a character is a span of kind
 ``markov``, unless a fixed pattern has it already.
 
@@ -34,6 +34,7 @@ THRESHOLD = 0.8
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 2000
 RANDOM_STRINGS = 3000
+RULERS = ["-", "=", "_", "+", "/", "-=", "-+", "=+", "_-", "---+", "===+"]
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 
 
@@ -62,7 +63,21 @@ def ordinary_samples(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     words = bounded_sample(own, "doc_id", "text", SAMPLE_DOCS, SAMPLE_CHARS).select(F.regexp_extract_all(start, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     pair = F.transform(F.slice("w", 2, 400), lambda x, i: F.struct(F.lower(F.get(F.col("w"), i)).alias("a"), F.lower(x).alias("b")))
     many = words.select(F.explode(pair).alias("p"))
-    return many.select(F.explode(F.array(F.col("p.a"), F.initcap("p.a"), F.upper("p.a"), F.concat_ws("_", "p.a", "p.b"), F.concat_ws("-", "p.a", "p.b"), F.concat(F.initcap("p.a"), F.initcap("p.b")), F.concat(F.upper("p.a"), F.lit("_"), F.upper("p.b")), F.concat("p.a", "p.b"))).alias("token"))
+    return many.select(F.explode(F.array(F.col("p.a"), F.initcap("p.a"), F.upper("p.a"), F.concat_ws("_", "p.a", "p.b"), F.concat_ws("-", "p.a", "p.b"), F.concat(F.initcap("p.a"), F.initcap("p.b")), F.concat(F.upper("p.a"), F.lit("_"), F.upper("p.b")), F.concat("p.a", "p.b"), *_numbered())).alias("token"))
+
+
+def _numbered() -> list[Column]:
+    """The pair as a path with a number, and its first word with a digit or two."""
+    number = F.crc32(F.col("p.a").cast("binary")).cast("string")
+    return [F.concat(F.lit("/"), "p.a", F.lit("/"), "p.b", F.lit("/"), F.upper("p.a"), F.lit("_"), number), F.concat("p.a", F.right(number, F.lit(2)), F.lit("/"), "p.b", F.lit("-"), F.right(number, F.lit(1)))]
+
+
+def plain_samples(spark: SparkSession, count: int = RANDOM_STRINGS) -> DataFrame:
+    """Numbers, dates alone and in paths, and rulers: long runs of these characters that are no secrets."""
+    d = F.translate(F.sha2(F.concat(F.lit("plain "), F.col("id").cast("string")).cast("binary"), 256), "abcdef", "013579")
+    year, month, day, clock = F.concat(F.lit("20"), F.substring(d, 1, 2)), F.concat(F.lit("0"), F.substring(d, 3, 1)), F.substring(d, 4, 2), F.substring(d, 6, 6)
+    ruler = F.repeat(F.element_at(F.array(*[F.lit(x) for x in RULERS]), (F.col("id") % len(RULERS) + 1).cast("int")), 12)
+    return spark.range(count).select(F.explode(F.array(F.substring(d, 1, 30), F.concat_ws("-", year, month, day, clock), F.concat_ws("/", F.lit(""), year, month, day, clock), F.concat_ws("_", F.concat(year, month, day), clock), ruler)).alias("token"))
 
 
 def marks(token: Column) -> Column:
@@ -78,7 +93,7 @@ def pairs(token: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[float]:
     """Log ratios (random over ordinary) of each pair of characters, with one added to each count."""
     spark, n = docs.sparkSession, len(ALPHABET) + 1
-    labelled = random_samples(spark).withColumn("kind", F.lit(0)).unionByName(ordinary_samples(docs, doc_id, text).withColumn("kind", F.lit(1)))
+    labelled = random_samples(spark).withColumn("kind", F.lit(0)).unionByName(ordinary_samples(docs, doc_id, text).unionByName(plain_samples(spark)).withColumn("kind", F.lit(1)))
     counts = [[1.0] * (n * n), [1.0] * (n * n)]
     for r in labelled.select("kind", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("kind", "pair").count().collect():
         counts[r["kind"]][r["pair"]] += r["count"]

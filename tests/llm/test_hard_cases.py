@@ -222,3 +222,15 @@ print("ALL DONE")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert "ALL DONE" in done.stdout, done.stderr[-3000:]
+
+
+def test_long_runs_that_are_no_secrets_stay_clean(spark, sf_dir):
+    """Rulers, numbers, dates and paths have no span and their documents stay; random strings beside them go."""
+    plain = ["-" * 40, "=" * 3000, "_" * 20, "----------+----------+----------", "12345678901234567890", "314159265358979323846264338", "2024-01-15-12-30-45-000000", "2024/01/15/12/30/45/backup",
+             "/images/2019/04/IMG_20190412_103045", "/usr/local/lib/python3/site-packages/numpy/core", "linux-image-5-15-0-91-generic", "getElementsByClassNameAndTagName"]
+    rng, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hidden = ["".join(rng.choice(letters) for _ in range(n)) for n in (24, 32, 40, 64, 200)]
+    docs = spark.createDataFrame([(i, f"see\n{t}\nabove") for i, t in enumerate(plain + hidden)], TEXTS)
+    weights = secrets.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert {r.doc_id: r.n_markov for r in secrets.scan(docs, weights).collect()} == {i: int(i >= len(plain)) for i in range(len(plain + hidden))}
+    assert {r.doc_id for r in secrets.drop_secrets(docs, weights).collect()} == set(range(len(plain)))
